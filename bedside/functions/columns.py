@@ -33,6 +33,12 @@ def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))
 
 
+def round_half_even(column: Column | str, digits: int) -> Column:
+    """Round like numerical libraries do: scale, take the nearest even integer on ties, scale back."""
+    scale = float(10**digits)
+    return F.rint(_col(column) * scale) / scale
+
+
 def code_category(column: Column | str, mapping: Mapping[str, Iterable[int]]) -> Column:
     """Label of the code set a code belongs to, NULL outside of all of them."""
     column = _col(column)

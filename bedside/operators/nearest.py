@@ -115,15 +115,16 @@ def index_samples(
     no sample.
     """
     windows = episodes.select("icustay_id", "starttime", "endtime", "duration_hours", "ventnum")
-    measured = events_in_interval(
+    # Both sides are small parts of the base tables and are read several times below.
+    measured = cut(events_in_interval(
         chart.select("subject_id", "icustay_id", "itemid", "value", "valueuom", "charttime"),
         windows,
         ["icustay_id"],
         "charttime",
         cap=cap,
-    )
+    ))
     stays = measured.select("subject_id", "icustay_id", "starttime", "endtime").distinct()
-    lab_rows = events_in_interval(
+    lab_rows = cut(events_in_interval(
         labs.select(
             "subject_id",
             F.col("charttime").alias("labtime"),
@@ -135,7 +136,7 @@ def index_samples(
         ["subject_id"],
         "labtime",
         cap=cap,
-    ).drop("starttime", "endtime")
+    ).drop("starttime", "endtime"))
     picked = nearest_match(
         measured,
         lab_rows,

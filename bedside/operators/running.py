@@ -90,6 +90,16 @@ def total(value: Column) -> State:
     )
 
 
+def group_total(value: Column) -> State:
+    """Sum over the whole group."""
+    return State(
+        local=lambda w: F.sum(value).over(w.all),
+        summary=lambda w: F.sum(value).over(w.all),
+        carry=lambda s, w: F.sum(s).over(w.rowsBetween(_START, _END)),
+        combine=lambda own, everything: everything,
+    )
+
+
 def position() -> State:
     """1-based row number."""
     one = F.lit(1)

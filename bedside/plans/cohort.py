@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import is_distinct
 from ..functions.temporal import age_years
+from ..operators.cleaning import to_wide
 from ..operators.episodes import first_episode, vent_episodes
 from ..operators.events import categorize, filter_codes, flag_events, union_distinct
 from ..operators.infusions import charted_infusions, ordered_infusions, vasopressor_durations
@@ -187,3 +188,14 @@ def build_cohort(
         "age_gender": demographics,
         "age_gender_vaso": add_vasopressor_flag(demographics, durations),
     }
+
+
+def wide_samples(cohort: Mapping[str, DataFrame]) -> DataFrame:
+    """Model input from the cohort's tables: one row per patient, a column per category."""
+    flags = cohort["age_gender_vaso"].select(
+        "subject_id", F.col("Vesopression_infussion").cast("int").alias("vaso")
+    )
+    people = cohort["age_gender"].select("subject_id", "gender", "age").unionByName(
+        flags, allowMissingColumns=True
+    )
+    return to_wide(cohort["long_covariates"], people)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _ensure_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder, for tables that are written and read back."""
+    _ensure_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
