@@ -49,8 +49,10 @@ def within_first(ts: Column | str, start: Column | str, end: Column | str, cap:
     return _col(ts).between(_col(start), capped_end(start, end, cap))
 
 
-def time_slice(ts: Column | str, hours: int = 24) -> Column:
-    """Number of the ``hours``-wide slice a timestamp falls in; grows with the timestamp."""
+def time_slice(ts: Column | str, seconds: int = 86_400) -> Column:
+    """Number of the ``seconds``-wide slice a timestamp or date falls in; grows with the timestamp."""
     ts = _col(ts)
-    whole_hours = F.unix_date(ts.cast("date")).cast("long") * 24 + F.hour(ts)
-    return F.floor(whole_hours / F.lit(hours)).cast("long")
+    whole = F.unix_date(ts.cast("date")).cast("long") * 86_400
+    if seconds % 86_400:
+        whole = whole + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+    return F.floor(whole / F.lit(seconds)).cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.temporal import hours_between, interval
 from ..sources.lineage import cut
-from .running import position, previous, running, split_needed, total
+from .running import choose_slices, position, previous, running, total
 
 
 def sessionize(
@@ -23,13 +23,13 @@ def sessionize(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Add a session number; a session starts after a pause longer than ``gap`` or where ``break_when`` holds."""
-    split = split_needed(df, by, hot_rows)
-    seen = running(df, by, ts, {"__previous": previous(F.col(ts))}, split=split, ties=ties)
+    slices = choose_slices(df, by, ts, hot_rows)
+    seen = running(df, by, ts, {"__previous": previous(F.col(ts))}, slices=slices, ties=ties)
     starts = F.col(ts) - F.col("__previous") > interval(gap)
     if break_when is not None:
         starts = break_when | F.coalesce(starts, F.lit(False))
     marked = seen.withColumn("__starts", F.when(starts, 1).otherwise(0)).drop("__previous")
-    numbered = running(marked, by, ts, {name: total(F.col("__starts"))}, split=split, ties=ties)
+    numbered = running(marked, by, ts, {name: total(F.col("__starts"))}, slices=slices, ties=ties)
     return numbered.drop("__starts")
 
 
@@ -68,7 +68,7 @@ def _number_episodes(
     ties = [vent, oxygen, extubated]
     # Grouping and set union stand behind this table: written once for the count and the windows.
     rows = cut(settings.select(*columns))
-    split = split_needed(rows, [by], hot_rows)
+    slices = choose_slices(rows, [by], ts, hot_rows)
     seen = running(
         rows,
         [by],
@@ -77,7 +77,7 @@ def _number_episodes(
             "last_vent": previous(F.col(ts), where=F.col(vent) == 1),
             "last_extubated": previous(F.col(extubated), where=relevant),
         },
-        split=split,
+        slices=slices,
         ties=ties,
     )
     opens = (
@@ -89,9 +89,9 @@ def _number_episodes(
     marked = seen.select(*columns, opens.alias("newvent"))
     # Oxygen-only rows count towards the number, so they may only be set aside after the sum.
     counted = running(
-        marked, [by], ts, {"ventnum": total(F.col("newvent"))}, split=split, ties=[*ties, "newvent"]
+        marked, [by], ts, {"ventnum": total(F.col("newvent"))}, slices=slices, ties=[*ties, "newvent"]
     )
-    return counted.withColumn("ventnum", F.when(relevant, F.col("ventnum"))), split
+    return counted.withColumn("ventnum", F.when(relevant, F.col("ventnum"))), slices is not None
 
 
 def vent_episodes(
@@ -121,12 +121,15 @@ def vent_episodes(
         .select(by, "starttime", "endtime")
     )
     # Episodes of one entity do not overlap, so their start orders them like the running number.
+    if split:
+        spans = cut(spans)
     ranked = running(
         spans,
         [by],
         "starttime",
         {"ventnum": position()},
-        split=split,
+        # No more episodes than rows: what fitted into one task still does.
+        slices=choose_slices(spans, [by], "starttime", hot_rows) if split else None,
         ties=["endtime"],
     )
     return ranked.select(

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import ratio
 from ..sources.lineage import cut
-from .running import following, group_total, previous, running, split_needed, total
+from .running import choose_slices, following, group_total, previous, running, total
 
-SLICES_PER_UNIT = 1024
+# Score slices to choose from, coarsest first.
+SLICES_PER_UNIT = (2**10, 2**20, 2**30)
 AGREEMENT_LIMIT = 400
 LIMITS_OF_AGREEMENT = 1.96
 
@@ -83,12 +84,15 @@ def binary_rates(df: DataFrame, by: Sequence[str], label: str, predicted: str) -
 # --- ranking -------------------------------------------------------------------------------
 
 
+def _score_slices(score: str) -> list[Column]:
+    return [F.floor(F.col(score) * n) for n in SLICES_PER_UNIT]
+
+
 def _ranked(
     df: DataFrame,
     by: Sequence[str],
     label: str,
     score: str,
-    slices: Column | None,
     hot_rows: int | None,
     neighbours: bool = False,
 ) -> DataFrame:
@@ -108,15 +112,12 @@ def _ranked(
     if neighbours:
         pair = F.struct("n1", "n0")
         states |= {"above": previous(pair), "below": following(pair)}
-    if slices is None:
-        slices = F.floor(F.col(score) * SLICES_PER_UNIT)
     return running(
         counts,
         by,
         score,
         states,
-        split=split_needed(counts, by, hot_rows),
-        slices=slices,
+        slices=choose_slices(counts, by, score, hot_rows, _score_slices(score)),
         descending=True,
     )
 
@@ -127,11 +128,10 @@ def ranking_metrics(
     label: str,
     score: str,
     *,
-    slices: Column | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Area under the ROC curve (ties count half) and average precision (step sum), in one pass."""
-    ranked = _ranked(df, by, label, score, slices, hot_rows)
+    ranked = _ranked(df, by, label, score, hot_rows)
     n1, n0, tps, fps = (F.col(c) for c in ("n1", "n0", "tps", "fps"))
     wins = F.sum(n0 * (tps - n1 / 2))
     steps = F.sum(n1 * ratio(tps, tps + fps))
@@ -162,14 +162,13 @@ def roc_curve(
     score: str,
     *,
     drop_intermediate: bool = True,
-    slices: Column | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Points ``(threshold, fpr, tpr)``, one per distinct score, from (0, 0) with a NULL threshold.
 
     ``drop_intermediate`` leaves out points on a straight line between their neighbours of equal step.
     """
-    ranked = _ranked(df, by, label, score, slices, hot_rows, neighbours=True)
+    ranked = _ranked(df, by, label, score, hot_rows, neighbours=True)
     first, final = F.col("above").isNull(), F.col("below").isNull()
     if drop_intermediate:
         turns = (F.col("below.n1") != F.col("n1")) | (F.col("below.n0") != F.col("n0"))
@@ -190,14 +189,13 @@ def pr_curve(
     label: str,
     score: str,
     *,
-    slices: Column | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Points ``(threshold, precision, recall)`` down to the first one of full recall.
 
     The curve also has its end at recall 0 and precision 1, with a NULL threshold.
     """
-    ranked = _ranked(df, by, label, score, slices, hot_rows, neighbours=True)
+    ranked = _ranked(df, by, label, score, hot_rows, neighbours=True)
     kept = ranked.where(F.col("tps") - F.col("n1") < F.col("positives"))
     none = F.lit(None).cast("double")
     end = F.struct(none.alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
@@ -235,8 +233,7 @@ def interp_curve(
             "left": previous(F.struct("x", "high")),
             "right": following(F.col("x")),
         },
-        split=split_needed(steps, by, hot_rows),
-        slices=F.floor(F.col("x") * SLICES_PER_UNIT),
+        slices=choose_slices(steps, by, "x", hot_rows, _score_slices("x")),
     )
     last = n - 1
     nothing = F.lit(None).cast("double")

@@ -154,11 +154,14 @@ def solve_linear(
     alpha: float = 0.0,
     passthrough: Sequence[str] = (),
     scale_label: bool = True,
+    per_row: bool = False,
 ) -> tuple[dict[str, float], float]:
     """Least squares (``alpha`` 0) or ridge coefficients on the original scale, and the intercept.
 
-    The penalty applies to scaled features and label, as when both are z-scored before the fit.
+    The penalty applies to scaled features and label, as when both are z-scored before the fit;
+    ``per_row`` weighs it against the mean instead of the sum of the squared errors.
     """
+    alpha = alpha * moments.n if per_row else alpha
     at = [moments.columns.index(c) for c in features]
     y = moments.columns.index(label)
     sd = np.array([1.0 if c in passthrough else moments.spread(c) for c in features])
@@ -181,13 +184,15 @@ def cross_validated_linear(
     alpha: float = 0.0,
     passthrough: Sequence[str] = (),
     scale_label: bool = True,
+    per_row: bool = False,
     fold: str = "fold",
     name: str = "predicted",
 ) -> DataFrame:
     """Out-of-fold predictions of a linear or ridge model: two aggregations and one projection."""
     _, outside = fold_moments(df, [*features, label], fold)
     solved = {
-        f: solve_linear(m, features, label, alpha, passthrough, scale_label) for f, m in outside.items()
+        f: solve_linear(m, features, label, alpha, passthrough, scale_label, per_row)
+        for f, m in outside.items()
     }
     predicted = by_fold({f: s[1] for f, s in solved.items()}, fold)
     for c in features:
@@ -208,7 +213,6 @@ def exact_folds(
         ["__all"],
         "__hash",
         {"__nth": position()},
-        split=True,
         ties=list(key),
         slices=F.shiftright("__hash", 52),
     )

@@ -10,7 +10,7 @@ from ..functions.temporal import hours_between
 from .events import swap_if, union_distinct
 from .intervals import merge_with_plan, span_by
 from ..sources.lineage import cut
-from .running import fill, is_last, position, previous, running, split_needed, total
+from .running import choose_slices, fill, is_last, position, previous, running, total
 
 _BY = ["icustay_id", "itemid"]
 
@@ -45,7 +45,7 @@ def mark_infusions(rates: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     rate, rest = F.col("vaso_rate"), ["vaso_stopped", "vaso_rate", "vaso_null"]
     rows = cut(rates.select(*_BY, "charttime", *rest))
-    split = split_needed(rows, _BY, hot_rows)
+    slices = choose_slices(rows, _BY, "charttime", hot_rows)
     seen = running(
         rows,
         _BY,
@@ -56,7 +56,7 @@ def mark_infusions(rates: DataFrame, hot_rows: int | None = None) -> DataFrame:
             "stopped_before": previous(F.col("vaso_stopped")),
             "is_final": is_last(),
         },
-        split=split,
+        slices=slices,
         ties=rest,
     )
     carried, before = F.col("vaso_prevrate_ifnull"), F.col("rate_before")
@@ -75,7 +75,7 @@ def mark_infusions(rates: DataFrame, hot_rows: int | None = None) -> DataFrame:
         _BY,
         "charttime",
         {"vaso_first": total(F.col("vaso_start"))},
-        split=split,
+        slices=slices,
         ties=[*rest, "vaso_prevrate_ifnull", "is_final", "vaso_start"],
     )
     ends = (F.col("vaso_stopped") == 1) | F.coalesce(rate == 0, F.lit(False)) | F.col("is_final")
@@ -117,8 +117,12 @@ def ordered_infusions(df: DataFrame, void_status: str = "Rewritten") -> DataFram
 
 def _merged_and_numbered(intervals: DataFrame, hot_rows: int | None) -> DataFrame:
     merged, split = merge_with_plan(intervals, ["icustay_id"], hot_rows=hot_rows)
+    slices = None
+    if split:
+        merged = cut(merged)
+        slices = choose_slices(merged, ["icustay_id"], "starttime", hot_rows)
     ranked = running(
-        merged, ["icustay_id"], "starttime", {"vasonum": position()}, split=split, ties=["endtime"]
+        merged, ["icustay_id"], "starttime", {"vasonum": position()}, slices=slices, ties=["endtime"]
     )
     return ranked.select(
         "icustay_id",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.temporal import capped_end, time_slice
 from ..sources.lineage import cut
-from .running import highest_before, highest_up_to, lowest_from, running, split_needed
+from .running import choose_slices, highest_before, highest_up_to, lowest_from, running
 
 
 def events_in_interval(
@@ -20,7 +20,7 @@ def events_in_interval(
     end: str = "endtime",
     cap: str | None = None,
     *,
-    slice_hours: int = 24,
+    slice_seconds: int = 86_400,
 ) -> DataFrame:
     """Inner join of events with the intervals of the same ``on`` keys that contain them, bounds included.
 
@@ -35,11 +35,11 @@ def events_in_interval(
         .withColumn(
             piece,
             F.explode(
-                F.sequence(time_slice(start, slice_hours), time_slice("__until", slice_hours))
+                F.sequence(time_slice(start, slice_seconds), time_slice("__until", slice_seconds))
             ),
         )
     )
-    hits = events.withColumn(piece, time_slice(ts, slice_hours)).join(spread, [*on, piece])
+    hits = events.withColumn(piece, time_slice(ts, slice_seconds)).join(spread, [*on, piece])
     kept = [c for c in intervals.columns if c not in on]
     return hits.where(F.col(ts).between(F.col(start), F.col("__until"))).select(*events.columns, *kept)
 
@@ -121,13 +121,13 @@ def merge_with_plan(
         .groupBy(*by, "at")
         .agg(F.max("reach").alias("reach"), F.max("opens").alias("opens"), F.max("closes").alias("closes"))
     )
-    split = split_needed(bounds, by, hot_rows)
+    slices = choose_slices(bounds, by, "at", hot_rows)
     covered = running(
         bounds,
         by,
         "at",
         {"before": highest_before(F.col("reach")), "so_far": highest_up_to(F.col("reach"))},
-        split=split,
+        slices=slices,
     )
     is_open = (F.col("opens") == 1) & ~F.coalesce(F.col("before") >= F.col("at"), F.lit(False))
     is_close = (F.col("closes") == 1) & ~F.coalesce(F.col("so_far") > F.col("at"), F.lit(False))
@@ -139,12 +139,12 @@ def merge_with_plan(
         by,
         "at",
         {"until": lowest_from(F.when(F.col("is_close"), F.col("at")))},
-        split=split,
+        slices=slices,
     )
     merged = closed.where(F.col("is_open") & F.col("until").isNotNull()).select(
         *by, F.col("at").alias(start), F.col("until").alias(end)
     )
-    return merged, split
+    return merged, slices is not None
 
 
 def _all_not_null(columns: Sequence[str]):

@@ -96,7 +96,7 @@ def fit_regressor(
         )
     elif kind == "sgd":
         estimator = LinearRegression(
-            regParam=SGD_PENALTY, elasticNetParam=0.0, standardization=False, solver="l-bfgs", **common
+            regParam=SGD_PENALTY, elasticNetParam=0.0, standardization=False, solver="normal", **common
         )
     elif kind == "kernel_huber":
         estimator = LinearRegression(

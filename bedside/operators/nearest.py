@@ -10,7 +10,7 @@ from ..functions.temporal import MICROS_PER_MINUTE, gap_minutes
 from .events import filter_by_category
 from .intervals import events_in_interval
 from ..sources.lineage import cut
-from .running import highest_up_to, lowest_from, running, split_needed
+from .running import choose_slices, highest_up_to, lowest_from, running
 
 
 def argmin_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -66,7 +66,7 @@ def nearest_match(
         by,
         "at",
         {"earlier": highest_up_to(right_at), "later": lowest_from(right_at)},
-        split=split_needed(points, by, hot_rows),
+        slices=choose_slices(points, by, "at", hot_rows),
     )
     gaps = near.where(F.col("is_left") == 1).select(
         *by, "at", F.least(gap_minutes("at", "earlier"), gap_minutes("at", "later")).alias(name)

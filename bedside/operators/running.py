@@ -3,9 +3,10 @@
 ``Window.partitionBy(entity)`` sends every row of an entity to one task. That is the cheapest plan
 (one exchange, shared by all windows of an operator) as long as entities are of ordinary size, and
 it stops the job once one entity owns a large part of the table. So the row counts are looked at
-first (``split_needed``: a count per entity, combined before the shuffle). If any entity exceeds the
-limit, timelines are cut into slices, the window runs per (entity, slice), and each slice receives
-what the earlier (or later) slices of its entity contribute:
+first (``choose_slices``: a count per entity, combined before the shuffle). If any entity exceeds the
+limit, timelines are cut into slices just fine enough that no (entity, slice) exceeds it, the window
+runs per (entity, slice), and each slice receives what the earlier (or later) slices of its entity
+contribute:
 
     rows --exchange(entity, slice)--> local window ------------------------+--> combine
                                         `- last row of each slice          |
@@ -18,7 +19,7 @@ min), so they can be combined that way without loss: both plans give the same ro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -29,6 +30,9 @@ from ..sources.lineage import cut
 # More rows of one entity than this are not left to one task.
 HOT_ROWS = 5_000_000
 
+# Slice widths to choose from, coarsest first: a day, an hour, a minute, a second.
+SLICE_SECONDS = (86_400, 3_600, 60, 1)
+
 _KEY = "__slice"
 _START = Window.unboundedPreceding
 _END = Window.unboundedFollowing
@@ -165,10 +169,33 @@ def is_last() -> State:
     )
 
 
-def split_needed(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> bool:
-    """Whether some ``by`` group has more rows than one task should get."""
+def choose_slices(
+    df: DataFrame,
+    by: Sequence[str],
+    order: str,
+    hot_rows: int | None = None,
+    candidates: Iterable[Column] | None = None,
+) -> Column | None:
+    """How to number the slices of a timeline, or None if every group fits into one task.
+
+    ``candidates`` are slice numbers from coarse to fine, each growing with ``order``; by default
+    ``order`` is a timestamp. The coarsest one under which no (group, slice) has more than
+    ``hot_rows`` rows is taken. Only counts are computed, and only their maximum reaches the driver.
+    """
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    return not df.groupBy(*by).count().where(F.col("count") > limit).isEmpty()
+
+    def largest(*keys: Column | str) -> int:
+        return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+    if largest(*by) <= limit:
+        return None
+    if candidates is None:
+        candidates = [time_slice(order, seconds) for seconds in SLICE_SECONDS]
+    slices = None
+    for slices in candidates:
+        if largest(*by, slices.alias("__n")) <= limit:
+            break
+    return slices
 
 
 def running(
@@ -177,17 +204,15 @@ def running(
     order: str,
     states: Mapping[str, State],
     *,
-    split: bool,
+    slices: Column | None,
     ties: Sequence[str] = (),
-    slices: Column | None = None,
-    slice_hours: int = 24,
     descending: bool = False,
 ) -> DataFrame:
     """Add one column per entry of ``states``, computed along ``order`` inside each ``by`` group.
 
-    ``split`` selects the sliced plan. ``slices`` numbers the slices and has to grow with ``order``;
-    by default it cuts a timestamp into ``slice_hours``. ``ties`` makes row-based results
-    reproducible among equal ``order`` values. NULL group keys form one group, as in any window.
+    ``slices`` comes from ``choose_slices``; None selects the plain window. ``ties`` makes row-based
+    results reproducible among equal ``order`` values. NULL group keys form one group, as in any
+    window.
     """
 
     def direction(name: str) -> Column:
@@ -201,13 +226,12 @@ def running(
             all=part,
         )
 
-    if not split:
+    if slices is None:
         w = windows(*by)
         return df.withColumns({name: s.alone(s.local(w)) for name, s in states.items()})
 
-    number = time_slice(order, slice_hours) if slices is None else slices
     # Both branches read the input, so it is written once.
-    keyed = cut(df).withColumn(_KEY, F.struct(*by, number.alias("n")))
+    keyed = cut(df).withColumn(_KEY, F.struct(*by, slices.alias("n")))
     w = windows(_KEY)
     local = keyed.withColumns({name: s.local(w) for name, s in states.items()})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
@@ -16,13 +17,16 @@ from ..operators.evaluation import (
 )
 from ..operators.folds import assign_folds, cross_validated_linear, fold_moments
 from ..operators.models import (
-    RIDGE_ALPHA, apply_model, fit_classifier, fit_regressor,
+    RIDGE_ALPHA, SGD_PENALTY, apply_model, fit_classifier, fit_regressor,
 )
 from ..sources.lineage import cut
 from ..sources.models import Variant, load_model, save_model
 
 # With seven features the last one, a flag, is not scaled.
 _FLAG = ("vaso",)
+# Penalty of the models with a closed form, and whether it is per row. The stochastic solver is
+# replaced by the optimum it approaches.
+_LINEAR = {"linear": (0.0, False), "ridge": (RIDGE_ALPHA, False), "sgd": (SGD_PENALTY, True)}
 
 
 def prepare(
@@ -55,16 +59,22 @@ def cross_validate(
 ) -> DataFrame:
     """Out-of-fold predictions, each row with its key, fold, label and ``predicted`` (and ``score``).
 
-    Linear and ridge models of all folds come out of one aggregation. Iterative models are fitted
+    Linear models of all folds come out of one aggregation. Iterative models are fitted
     once per fold, ``parallelism`` fits at a time, on rows that were written once.
     """
-    features, flags = feature_columns(variant.seven_features), _passthrough(variant)
     # The prepared columns are few; every fold reads them again.
     rows = cut(prepare(samples, key, variant, k=k, seed=seed, clean=clean))
+    return cross_validate_rows(rows, variant, seed=seed, parallelism=parallelism)
+
 
-    if variant.model in ("linear", "ridge") and variant.task == "regression":
-        alpha = RIDGE_ALPHA if variant.model == "ridge" else 0.0
-        return cross_validated_linear(rows, features, "label", alpha, flags)
+def cross_validate_rows(
+    rows: DataFrame, variant: Variant, *, seed: int = 1, parallelism: int = 4
+) -> DataFrame:
+    """``cross_validate`` on prepared rows."""
+    features, flags = feature_columns(variant.seven_features), _passthrough(variant)
+    if variant.task == "regression" and variant.model in _LINEAR:
+        alpha, per_row = _LINEAR[variant.model]
+        return cross_validated_linear(rows, features, "label", alpha, flags, per_row=per_row)
     if variant.model == "ridge":
         signed = rows.withColumn("__sign", F.col("label") * 2 - 1)
         scored = cross_validated_linear(
@@ -126,11 +136,25 @@ def run_grid(
     models: Iterable[str],
     feature_sets: Iterable[bool] = (False, True),
     filters: Iterable[bool] = (False, True),
-    **options,
+    *,
+    k: int = 10,
+    seed: int = 1,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Fold metrics of every combination of model, feature set and saturation filter."""
-    variants = [Variant(task, m, s, f) for m in models for s in feature_sets for f in filters]
-    parts = [fold_metrics(cross_validate(samples, key, v, **options), v) for v in variants]
+    """Fold metrics of every combination of model, feature set and saturation filter.
+
+    The samples are prepared once per feature set, filter and kind of label.
+    """
+    parts, prepared = [], {}
+    for seven, filtered, model in product(feature_sets, filters, models):
+        variant = Variant(task, model, seven, filtered)
+        subset = (seven, filtered, model == "multi")
+        if subset not in prepared:
+            prepared[subset] = cut(prepare(samples, key, variant, k=k, seed=seed))
+        predictions = cross_validate_rows(
+            prepared[subset], variant, seed=seed, parallelism=parallelism
+        )
+        parts.append(fold_metrics(predictions, variant))
     return reduce(DataFrame.unionByName, parts)
 
 

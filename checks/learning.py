@@ -66,15 +66,15 @@ def _(t):
     return D.train_test(_clean(t), _ID, 0.3, hashed=F.expr(_HASH)).select(*_ID, "is_test")
 
 
-def _solve_sql(alpha: str) -> str:
-    """Three-feature least squares or ridge per training set: normal equations tb Cramer's rule."""
+def _solve_sql(alpha: str, train: str = "train", y: str = "Pao2", sy: str = "stddev_pop(Pao2)") -> str:
+    """Three-feature least squares or ridge per training set: normal equations with Cramer's rule."""
     names = {"a": "Spo2", "b": "Fio2", "c": "Peep"}
     cov = ", ".join(
-        f"regr_count(Pao2, Spo2) * covar_pop({names[x]}, {names[y]}) / (stddev_pop({names[x]}) * stddev_pop({names[y]})) AS {x}{y}"
-        for x, y in ("aa", "ab", "ac", "bb", "bc", "cc")
+        f"count(*) * covar_pop({names[i]}, {names[j]}) / (stddev_pop({names[i]}) * stddev_pop({names[j]})) AS {i}{j}"
+        for i, j in ("aa", "ab", "ac", "bb", "bc", "cc")
     )
     tgt = ", ".join(
-        f"regr_count(Pao2, Spo2) * covar_pop({v}, Pao2) / (stddev_pop({v}) * stddev_pop(Pao2)) AS t{k}, avg({v}) AS m{k}, stddev_pop({v}) AS s{k}"
+        f"count(*) * covar_pop({v}, {y}) / (stddev_pop({v}) * {sy}) AS t{k}, avg({v}) AS m{k}, stddev_pop({v}) AS s{k}"
         for k, v in names.items()
     )
     return f"""
@@ -86,11 +86,18 @@ FROM (SELECT *,
     (aa * (bb * tc - tb * bc) - ab * (ab * tc - tb * ac) + ta * (ab * bc - bb * ac)) / det AS wc
   FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det
     FROM (SELECT * REPLACE (aa + {alpha} AS aa, bb + {alpha} AS bb, cc + {alpha} AS cc)
-      FROM (SELECT held_out, {cov}, {tgt}, avg(Pao2) AS my, stddev_pop(Pao2) AS sy FROM train GROUP BY held_out))))"""
+      FROM (SELECT held_out, {cov}, {tgt}, count(*) AS n, avg({y}) AS my, {sy} AS sy FROM {train} GROUP BY held_out))))"""
 
 
 VIEWS["ols_fit"] = _solve_sql("0")
 VIEWS["ridge_fit"] = _solve_sql("1")
+VIEWS["sgd_fit"] = _solve_sql("0.0001 * n")
+VIEWS["train_sign"] = "SELECT *, CASE WHEN Pao2 / Fio2 <= 150 THEN -1e0 ELSE 1e0 END AS side FROM train"
+VIEWS["side_fit"] = _solve_sql("1", "train_sign", "side", "1e0")
+VIEWS["everything"] = "SELECT -1 AS held_out, * FROM clean3"
+VIEWS["whole_fit"] = _solve_sql("0", "everything")
+VIEWS["filtered"] = "SELECT -1 AS held_out, * FROM clean3 WHERE Spo2 < 97"
+VIEWS["filtered_fit"] = _solve_sql("0", "filtered")
 
 
 def _predict_sql(view: str) -> str:
@@ -108,6 +115,21 @@ def _(t):
     return D.cross_validated_linear(_folded(t), _F3, "Pao2", L.RIDGE_ALPHA).select(*_ID, "fold", "predicted")
 
 
+@query("m7_sgd_out_of_fold", _predict_sql("sgd_fit"), "predicted")
+def _(t):
+    predicted = D.cross_validated_linear(_folded(t), _F3, "Pao2", L.SGD_PENALTY, per_row=True)
+    return predicted.select(*_ID, "fold", "predicted")
+
+
+@query("m12_ridge_margin_out_of_fold", _predict_sql("side_fit").replace("AS predicted", "AS margin"), "margin")
+def _(t):
+    sides = C.with_label(_folded(t), "class2").withColumn("side", F.col("label") * 2 - 1)
+    scored = D.cross_validated_linear(
+        sides, _F3, "side", L.RIDGE_ALPHA, scale_label=False, name="margin"
+    )
+    return scored.select(*_ID, "fold", "margin")
+
+
 @query(
     "m16_linear_fold_metrics",
     f"""SELECT fold, count(*) AS n, sqrt(avg((predicted - Pao2) ** 2)) AS rmse,
@@ -135,7 +157,7 @@ def _register(name: str, variant: Variant, k: int) -> None:
 
 
 # Iterative models: metrics over their folds (no SQL can fit them; see tests for the closed forms).
-_register("m7_sgd_regression", Variant("regression", "sgd"), 3)
+_register("m7_sgd_regression", Variant("regression", "sgd"), 10)
 _register("m8_kernel_huber", Variant("regression", "kernel_huber"), 3)
 _register("m9_boosted_trees", Variant("regression", "gbt"), 3)
 _register("m10_logistic", Variant("classification", "logistic"), 10)
@@ -146,21 +168,33 @@ _register("m14_perceptron", Variant("classification", "mlp"), 3)
 _register("m15_four_classes", Variant("classification", "multi"), 3)
 
 
-@query("m17_final_fit_coefficients")
+def _fitted_sql(view: str) -> str:
+    return f"""SELECT {_KEYS}, b_0 + b_Spo2 * Spo2 + b_Fio2 * Fio2 + b_Peep * Peep AS predicted
+FROM clean3 JOIN {view} ON held_out = -1"""
+
+
+@query("m17_final_fit", _fitted_sql("whole_fit"), "predicted")
 def _(t):
-    variant = Variant("regression", "linear", seven_features=True)
-    model = R.fit_final(t.samples, _ID, variant)
-    return R.apply_model(
-        model, _clean(t, seven_features=True).select(*_ID, *C.FEATURES_7)
-    ).select(*_ID, "predicted")
+    model = R.fit_final(t.samples, _ID, Variant("regression", "linear"))
+    return L.apply_model(model, _clean(t).select(*_ID, *C.FEATURES_3)).select(*_ID, "predicted")
+
+
+@query("m17_final_fit_seven")
+def _(t):
+    model = R.fit_final(t.samples, _ID, Variant("regression", "ridge", seven_features=True))
+    return L.apply_model(model, _clean(t, seven_features=True).select(*_ID, *C.FEATURES_7))
 
 
 @query("m18_variant_grid")
 def _(t):
-    return R.summarize(R.run_grid(t.samples, _ID, "regression", ["linear", "ridge"]))
+    return R.summarize(R.run_grid(t.samples, _ID, "regression", ["linear", "ridge", "sgd"]))
 
 
-@query("m20_batch_scoring")
+@query(
+    "m20_batch_scoring",
+    f"SELECT {_KEYS}, Spo2, Fio2, Peep, round_even(predicted * 100, 0) / 100 AS predicted FROM clean3 JOIN ({_fitted_sql('filtered_fit')}) USING ({_KEYS})",
+    "Spo2 Fio2 Peep predicted",
+)
 def _(t):
     root = scratch_folder(t.spark)
     variant = Variant("regression", "linear", filter_spo2=True)

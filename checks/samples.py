@@ -361,7 +361,7 @@ def _(t):
 
 @query("a23_roc_auc_sliced", _AUC, "roc_auc")
 def _(t):
-    return X.roc_auc(_scored(t), ["fold"], "label", "score", hot_rows=0)
+    return X.roc_auc(_scored(t), ["fold"], "label", "score", hot_rows=50)
 
 
 @query("a24_average_precision", "SELECT fold, sum(n1 / p * tps / (tps + fps)) AS average_precision FROM steps GROUP BY fold", "average_precision")
@@ -381,7 +381,7 @@ def _(t):
 
 @query("a25_roc_curve_sliced", _ROC, "threshold fpr tpr")
 def _(t):
-    return X.roc_curve(_scored(t), ["fold"], "label", "score", hot_rows=0)
+    return X.roc_curve(_scored(t), ["fold"], "label", "score", hot_rows=50)
 
 
 _INTERP = """
@@ -398,7 +398,7 @@ def _(t):
 
 @query("a26_interp_curve_sliced", _INTERP, "fpr tpr")
 def _(t):
-    return X.interp_curve(X.roc_curve(_scored(t), ["fold"], "label", "score"), ["fold"], hot_rows=0)
+    return X.interp_curve(X.roc_curve(_scored(t), ["fold"], "label", "score"), ["fold"], hot_rows=50)
 
 
 _PR = """SELECT fold, score AS threshold, tps / (tps + fps) AS precision, tps / p AS recall FROM steps WHERE tps - n1 < p
