@@ -19,8 +19,7 @@ def is_distinct(column: Column | str, value: Any) -> Column:
 
 def nan_to_null(column: Column | str) -> Column:
     """Missing is NULL everywhere; Spark orders NaN above every number, so it must go first."""
-    column = _col(column)
-    return F.when(~F.isnan(column), column)
+    return F.nanvl(_col(column), F.lit(None).cast("double"))
 
 
 def to_double(column: Column | str) -> Column:

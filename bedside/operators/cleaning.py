@@ -40,30 +40,33 @@ def normalize_units(df: DataFrame) -> DataFrame:
     )
 
 
+def _known(name: str):
+    return F.col(name).isNotNull() & ~F.isnan(name)
+
+
 def clean_cohort(
     df: DataFrame, *, filter_spo2: bool = False, seven_features: bool = False
 ) -> DataFrame:
     """Plausible samples in common units.
 
-    A missing Sao2 stays, any other missing value that a rule looks at drops the sample.
+    A missing Sao2 stays, any other missing value that a rule looks at drops the sample. Changing the
+    units makes no value missing or zero, so all rules look at the stored columns and reach the
+    scan; NaN is above every number in Spark, so only lower bounds have to exclude it.
     """
     rule = (
-        (F.col("Sao2").isNull() | (F.col("Sao2") <= MAX_SAO2))
-        & F.col("Pao2").isNotNull()
+        (F.col("Sao2").isNull() | F.isnan("Sao2") | (F.col("Sao2") <= MAX_SAO2))
+        & _known("Pao2")
         & (F.col("Fio2") != 0)
+        & ~F.isnan("Fio2")
         & (F.col("Spo2") >= MIN_SPO2)
+        & ~F.isnan("Spo2")
         & (F.col("Peep") <= MAX_PEEP)
     )
     if filter_spo2:
         rule = rule & (F.col("Spo2") < SPO2_LIMIT)
     if seven_features:
-        rule = (
-            rule
-            & F.col("Map").isNotNull()
-            & F.col("Temperature").isNotNull()
-            & (F.col("Vt") <= MAX_VT)
-        )
-    return normalize_units(missing_to_null(df)).where(rule)
+        rule = rule & _known("Map") & _known("Temperature") & (F.col("Vt") <= MAX_VT)
+    return normalize_units(missing_to_null(df.where(rule)))
 
 
 def feature_columns(seven_features: bool) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import inputs
 
@@ -31,9 +31,13 @@ class Inputs:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    )
+    """Half away from zero on the scaled double, as the oracle engine rounds (F.round goes through decimals)."""
+    scale = float(10**digits)
+
+    def whole(c: str) -> Column:
+        return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
+
+    return df.select(*[whole(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _uses(sql: str, name: str) -> bool:
