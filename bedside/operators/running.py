@@ -35,15 +35,17 @@ SLICE_SECONDS = (86_400, 3_600, 60, 1)
 
 _KEY = "__slice"
 _START = Window.unboundedPreceding
-_END = Window.unboundedFollowing
 
 
 @dataclass(frozen=True)
 class Windows:
-    """``rows``: ordered with tie-breakers. ``peers``: ordered by the sort column alone. ``all``: unordered."""
+    """``rows``: ordered with tie-breakers. ``peers``: ordered by the sort column alone. ``back``: the
+    same from the other end (a frame that ends at UNBOUNDED FOLLOWING is recomputed for every row,
+    one that starts at UNBOUNDED PRECEDING is not). ``all``: unordered."""
 
     rows: WindowSpec
     peers: WindowSpec
+    back: WindowSpec
     all: WindowSpec
 
 
@@ -51,7 +53,7 @@ class Windows:
 class State:
     local: Callable[[Windows], Column]  # value inside the slice
     summary: Callable[[Windows], Column]  # the slice as a whole, read off its last row
-    carry: Callable[[Column, WindowSpec], Column]  # over the slices of one entity
+    carry: Callable[[Column, Windows], Column]  # over the slices of one entity
     combine: Callable[[Column, Column], Column]
     alone: Callable[[Column], Column] = lambda own: own  # the local value when nothing was cut
 
@@ -73,7 +75,7 @@ def previous(value: Column, where: Column | None = None, inclusive: bool = False
     return State(
         local=lambda w: F.last(boxed, ignorenulls=True).over(w.rows.rowsBetween(_START, last)),
         summary=lambda w: F.last(boxed, ignorenulls=True).over(w.rows.rowsBetween(_START, 0)),
-        carry=lambda s, w: F.last(s, ignorenulls=True).over(w.rowsBetween(_START, -1)),
+        carry=lambda s, w: F.last(s, ignorenulls=True).over(w.rows.rowsBetween(_START, -1)),
         combine=lambda own, before: F.coalesce(own, before)["v"],
         alone=_unbox,
     )
@@ -89,7 +91,7 @@ def total(value: Column) -> State:
     return State(
         local=lambda w: F.sum(value).over(w.peers),
         summary=lambda w: F.sum(value).over(w.all),
-        carry=lambda s, w: F.sum(s).over(w.rowsBetween(_START, -1)),
+        carry=lambda s, w: F.sum(s).over(w.rows.rowsBetween(_START, -1)),
         combine=_both,
     )
 
@@ -99,7 +101,7 @@ def group_total(value: Column) -> State:
     return State(
         local=lambda w: F.sum(value).over(w.all),
         summary=lambda w: F.sum(value).over(w.all),
-        carry=lambda s, w: F.sum(s).over(w.rowsBetween(_START, _END)),
+        carry=lambda s, w: F.sum(s).over(w.all),
         combine=lambda own, everything: everything,
     )
 
@@ -110,7 +112,7 @@ def position() -> State:
     return State(
         local=lambda w: F.sum(one).over(w.rows.rowsBetween(_START, 0)),
         summary=lambda w: F.sum(one).over(w.rows.rowsBetween(_START, 0)),
-        carry=lambda s, w: F.sum(s).over(w.rowsBetween(_START, -1)),
+        carry=lambda s, w: F.sum(s).over(w.rows.rowsBetween(_START, -1)),
         combine=_both,
     )
 
@@ -120,7 +122,7 @@ def highest_before(value: Column) -> State:
     return State(
         local=lambda w: F.max(value).over(w.rows.rowsBetween(_START, -1)),
         summary=lambda w: F.max(value).over(w.all),
-        carry=lambda s, w: F.max(s).over(w.rowsBetween(_START, -1)),
+        carry=lambda s, w: F.max(s).over(w.rows.rowsBetween(_START, -1)),
         combine=lambda own, before: F.greatest(own, before),
     )
 
@@ -130,7 +132,7 @@ def highest_up_to(value: Column) -> State:
     return State(
         local=lambda w: F.max(value).over(w.peers),
         summary=lambda w: F.max(value).over(w.all),
-        carry=lambda s, w: F.max(s).over(w.rowsBetween(_START, -1)),
+        carry=lambda s, w: F.max(s).over(w.rows.rowsBetween(_START, -1)),
         combine=lambda own, before: F.greatest(own, before),
     )
 
@@ -138,9 +140,9 @@ def highest_up_to(value: Column) -> State:
 def lowest_from(value: Column) -> State:
     """Minimum over the row itself, its peers and the later rows."""
     return State(
-        local=lambda w: F.min(value).over(w.peers.rangeBetween(0, _END)),
+        local=lambda w: F.min(value).over(w.back),
         summary=lambda w: F.min(value).over(w.all),
-        carry=lambda s, w: F.min(s).over(w.rowsBetween(1, _END)),
+        carry=lambda s, w: F.min(s).over(w.back.rowsBetween(_START, -1)),
         combine=lambda own, after: F.least(own, after),
     )
 
@@ -151,7 +153,7 @@ def following(value: Column) -> State:
     return State(
         local=lambda w: F.lead(boxed).over(w.rows),
         summary=lambda w: F.first(boxed).over(w.rows.rowsBetween(_START, 0)),
-        carry=lambda s, w: F.first(s).over(w.rowsBetween(1, _END)),
+        carry=lambda s, w: F.lead(s).over(w.rows),
         combine=lambda own, after: F.coalesce(own, after)["v"],
         alone=_unbox,
     )
@@ -163,7 +165,7 @@ def is_last() -> State:
     return State(
         local=lambda w: F.lead(one).over(w.rows),
         summary=lambda w: F.max(one).over(w.all),
-        carry=lambda s, w: F.lead(s).over(w),
+        carry=lambda s, w: F.lead(s).over(w.rows),
         combine=lambda own, after: own.isNull() & after.isNull(),
         alone=lambda own: own.isNull(),
     )
@@ -215,24 +217,25 @@ def running(
     window.
     """
 
-    def direction(name: str) -> Column:
-        return F.col(name).desc_nulls_first() if descending else F.col(name).asc_nulls_last()
+    def ordered(name: str, down: bool) -> Column:
+        return F.col(name).desc_nulls_first() if down else F.col(name).asc_nulls_last()
 
-    def windows(*keys: str) -> Windows:
-        part = Window.partitionBy(*keys)
+    def windows(keys: Sequence[str], along: str, *ties: str) -> Windows:
+        part = Window.partitionBy(*[F.col(k) for k in keys])
         return Windows(
-            rows=part.orderBy(direction(order), *[direction(t) for t in ties]),
-            peers=part.orderBy(direction(order)),
+            rows=part.orderBy(*[ordered(c, descending) for c in (along, *ties)]),
+            peers=part.orderBy(ordered(along, descending)),
+            back=part.orderBy(ordered(along, not descending)),
             all=part,
         )
 
     if slices is None:
-        w = windows(*by)
+        w = windows(by, order, *ties)
         return df.withColumns({name: s.alone(s.local(w)) for name, s in states.items()})
 
     # Both branches read the input, so it is written once.
     keyed = cut(df).withColumn(_KEY, F.struct(*by, slices.alias("n")))
-    w = windows(_KEY)
+    w = windows([_KEY], order, *ties)
     local = keyed.withColumns({name: s.local(w) for name, s in states.items()})
 
     last_rows = (
@@ -243,10 +246,7 @@ def running(
         .where("__end")
         .select(_KEY, *[f"__s_{name}" for name in states])
     )
-    slice_number = F.col(f"{_KEY}.n")
-    across = Window.partitionBy(*[F.col(f"{_KEY}.{b}") for b in by]).orderBy(
-        slice_number.desc() if descending else slice_number.asc()
-    )
+    across = windows([f"{_KEY}.{b}" for b in by], f"{_KEY}.n")
     carried = last_rows.select(
         F.col(_KEY).alias("__carry_key"),
         *[s.carry(F.col(f"__s_{name}"), across).alias(f"__c_{name}") for name, s in states.items()],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -152,50 +153,76 @@ def vasopressors(
     )
 
 
-def build_cohort(
-    tables: Mapping[str, DataFrame],
-    reuse: Callable[[DataFrame], DataFrame] = cut,
-    hot_rows: int | None = None,
-) -> dict[str, DataFrame]:
-    """All feature tables by name. ``reuse`` is applied to the results that several others read."""
-    chart, labs = tables["chartevents"], tables["labevents"]
-    settings = vent_settings(chart, tables["procedureevents_mv"])
-    episodes = reuse(vent_episodes(settings, gap=codes.EPISODE_GAP, hot_rows=hot_rows))
-    index = reuse(
-        index_samples(
-            filter_codes(chart, "itemid", codes.SPO2),
-            filter_codes(labs, "itemid", codes.PAO2),
-            first_episode(episodes),
-            cap=codes.EPISODE_CAP,
-            max_gap=codes.INDEX_MAX_GAP,
-            hot_rows=hot_rows,
+class Cohort:
+    """All feature tables of a set of base tables; each is built when it is first asked for.
+
+    ``reuse`` is applied to the results that several others read.
+    """
+
+    def __init__(
+        self,
+        tables: Mapping[str, DataFrame],
+        reuse: Callable[[DataFrame], DataFrame] = cut,
+        hot_rows: int | None = None,
+    ):
+        self.tables, self._reuse, self._hot_rows = tables, reuse, hot_rows
+
+    @cached_property
+    def settings(self) -> DataFrame:
+        return vent_settings(self.tables["chartevents"], self.tables["procedureevents_mv"])
+
+    @cached_property
+    def episodes(self) -> DataFrame:
+        return self._reuse(
+            vent_episodes(self.settings, gap=codes.EPISODE_GAP, hot_rows=self._hot_rows)
         )
-    )
-    chart_rows = reuse(chart_covariates(chart, index))
-    lab_rows = lab_covariates(labs, index)
-    durations = reuse(
-        vasopressors(tables["inputevents_cv"], tables["inputevents_mv"], hot_rows)
-    )
-    demographics = add_age_gender(chart_rows, tables["patients"])
-    return {
-        "settings": settings,
-        "episodes": episodes,
-        "index_samples": index,
-        "chart_covariates": chart_rows,
-        "lab_covariates": lab_rows,
-        "long_covariates": long_covariates(chart_rows, lab_rows),
-        "vasopressor_durations": durations,
-        "age_gender": demographics,
-        "age_gender_vaso": add_vasopressor_flag(demographics, durations),
-    }
+
+    @cached_property
+    def index_samples(self) -> DataFrame:
+        return self._reuse(
+            index_samples(
+                filter_codes(self.tables["chartevents"], "itemid", codes.SPO2),
+                filter_codes(self.tables["labevents"], "itemid", codes.PAO2),
+                first_episode(self.episodes),
+                cap=codes.EPISODE_CAP,
+                max_gap=codes.INDEX_MAX_GAP,
+                hot_rows=self._hot_rows,
+            )
+        )
+
+    @cached_property
+    def chart_covariates(self) -> DataFrame:
+        return self._reuse(chart_covariates(self.tables["chartevents"], self.index_samples))
+
+    @cached_property
+    def lab_covariates(self) -> DataFrame:
+        return lab_covariates(self.tables["labevents"], self.index_samples)
+
+    @cached_property
+    def long_covariates(self) -> DataFrame:
+        return long_covariates(self.chart_covariates, self.lab_covariates)
+
+    @cached_property
+    def vasopressor_durations(self) -> DataFrame:
+        return vasopressors(
+            self.tables["inputevents_cv"], self.tables["inputevents_mv"], self._hot_rows
+        )
+
+    @cached_property
+    def age_gender(self) -> DataFrame:
+        return add_age_gender(self.chart_covariates, self.tables["patients"])
+
+    @cached_property
+    def age_gender_vaso(self) -> DataFrame:
+        return add_vasopressor_flag(self.age_gender, self.vasopressor_durations)
 
 
-def wide_samples(cohort: Mapping[str, DataFrame]) -> DataFrame:
+def wide_samples(cohort: Cohort) -> DataFrame:
     """Model input from the cohort's tables: one row per patient, a column per category."""
-    flags = cohort["age_gender_vaso"].select(
+    flags = cohort.age_gender_vaso.select(
         "subject_id", F.col("Vesopression_infussion").cast("int").alias("vaso")
     )
-    people = cohort["age_gender"].select("subject_id", "gender", "age").unionByName(
+    people = cohort.age_gender.select("subject_id", "gender", "age").unionByName(
         flags, allowMissingColumns=True
     )
-    return to_wide(cohort["long_covariates"], people)
+    return to_wide(cohort.long_covariates, people)

@@ -97,6 +97,9 @@ FROM {events}""",
 FROM {lineitem}""",
 }
 
+CLINICAL = (
+    "chartevents", "procedureevents_mv", "labevents", "inputevents_cv", "inputevents_mv", "patients",
+)
 _TABLE_OF = {"patients": "customer", "samples": "lineitem"}
 
 
@@ -114,11 +117,6 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({n: df[n].cast("timestamp_ntz") for n in zoned}) if zoned else df
 
 
-def clinical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    names = ["chartevents", "procedureevents_mv", "labevents", "inputevents_cv", "inputevents_mv", "patients"]
-    return {name: source(spark, sf_dir, name) for name in names}
-
-
 def oracle_source(name: str) -> str:
     table = _TABLE_OF.get(name, "events")
     return SOURCES[name].replace("{" + table + "}", table)

@@ -23,11 +23,14 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in inputs.SOURCES:
-            return inputs.source(self.spark, self._dir, name)
-        return inputs.driver_table(self.spark, self._dir, name)
+            df = inputs.source(self.spark, self._dir, name)
+        else:
+            df = inputs.driver_table(self.spark, self._dir, name)
+        setattr(self, name, df)
+        return df
 
     def clinical(self) -> dict[str, DataFrame]:
-        return inputs.clinical(self.spark, self._dir)
+        return {name: getattr(self, name) for name in inputs.CLINICAL}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
