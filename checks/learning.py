@@ -192,7 +192,9 @@ def _(t):
 
 @query(
     "m20_batch_scoring",
-    f"SELECT {_KEYS}, Spo2, Fio2, Peep, round_even(predicted * 100, 0) / 100 AS predicted FROM clean3 JOIN ({_fitted_sql('filtered_fit')}) USING ({_KEYS})",
+    f"""SELECT {_KEYS}, Spo2, Fio2, Peep,
+      round_even((b_0 + b_Spo2 * Spo2 + b_Fio2 * Fio2 + b_Peep * Peep) * 100, 0) / 100 AS predicted
+    FROM clean3 JOIN filtered_fit ON held_out = -1""",
     "Spo2 Fio2 Peep predicted",
 )
 def _(t):
