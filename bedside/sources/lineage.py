@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _ensure_folder(spark: SparkSession) -> None:
+    """Settle the checkpoint folder: the one the session names; a temporary one in a single-process session only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        # Only a single-machine session may fall back to its own disk.
-        if context.master.startswith("local"):
-            named = tempfile.mkdtemp(prefix="bedside-checkpoint-")
-        else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        # local-cluster[...] runs executors apart, so it needs a shared folder like any cluster.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="bedside-checkpoint-")
     context.setCheckpointDir(named)
 
 
@@ -36,3 +37,20 @@ def scratch_folder(spark: SparkSession) -> str:
     """A new folder name in the shared checkpoint folder, for tables that are written and read back."""
     _ensure_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as Parquet: later reads prune columns, push filters down and know the size."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files behind a table that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    roots = {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}
+    for root in roots:
+        if root.startswith(re.sub(r"^file:/*", "file:///", spark.sparkContext.getCheckpointDir())):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
