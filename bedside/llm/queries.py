@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load_table
 from .decontaminate import contaminated, mark_contamination
+from .language import fit_language_model, held_out, identify_languages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +73,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(F.array_join("hit_items", ",")).alias("items_sha256"),
         contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_set")
