@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load_table
 from .decontaminate import contaminated, mark_contamination
+from .pii import KINDS, find_personal_data, span_list
 from .language import fit_language_model, held_out, identify_languages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_language_model(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = identify_languages(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_set")
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in KINDS if k.always]
+    return found.select(
+        "doc_id",
+        *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in base],
+        sha256(span_list(base)).alias("base_sha256"),
+        span_list([k.name for k in KINDS]).alias("spans"),
+        F.concat(*[F.transform(f"pii_{k.name}", lambda s: s["score"]) for k in KINDS]).alias("scores"),
+    )
