@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import load_table
 from .decontaminate import contaminated, mark_contamination
 from .pii import KINDS, find_personal_data, span_list
+from .digest import compare_with_next
 from .language import fit_language_model, held_out, identify_languages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,17 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_list([k.name for k in KINDS]).alias("spans"),
         F.concat(*[F.transform(f"pii_{k.name}", lambda s: s["score"]) for k in KINDS]).alias("scores"),
     )
+
+
+@query("op8_fingerprint")
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = compare_with_next(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        sha256(F.col("edited_text")).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
