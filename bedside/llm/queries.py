@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load_table
 from .decontaminate import contaminated, mark_contamination
+from .line_dedup import drop_boilerplate
 from .pii import KINDS, find_personal_data, span_list
+from .toxicity import fit_toxicity, score_toxicity
 from .digest import compare_with_next
 from .language import fit_language_model, held_out, identify_languages
 
@@ -110,3 +112,45 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query(
+    "op4_line_dedup",
+    """
+WITH line AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents
+), host AS (
+  SELECT source, count(*) AS pages FROM documents GROUP BY source
+), common AS (
+  SELECT l.source, trim(l.body) AS body
+  FROM line l JOIN host h ON l.source IS NOT DISTINCT FROM h.source
+  WHERE trim(l.body) <> ''
+  GROUP BY l.source, h.pages, trim(l.body)
+  HAVING count(DISTINCT l.doc_id) >= 5 AND count(DISTINCT l.doc_id) > 0.05 * h.pages
+), marked AS (
+  SELECT l.*, c.body IS NOT NULL AS bad
+  FROM line l LEFT JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND trim(l.body) = c.body
+)
+SELECT d.doc_id, coalesce(m.n_dropped, 0) AS n_dropped, sha256(coalesce(m.kept, CASE WHEN d.text IS NOT NULL THEN '' END)) AS kept_sha256
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE bad) AS n_dropped, string_agg(body, chr(10) ORDER BY place) FILTER (WHERE NOT bad) AS kept
+  FROM marked GROUP BY doc_id
+) m USING (doc_id)
+""",
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    kept = drop_boilerplate(docs, dropped="n_dropped")
+    return kept.select("doc_id", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    model = fit_toxicity(docs.where(~held_out()), labels)
+    scored = score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

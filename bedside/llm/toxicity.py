@@ -53,10 +53,10 @@ def train(
     *,
     prior: float | None = None,
     dim: int = 4,
-    epochs: tuple[int, int] = (8, 32),
-    rate: float = 0.1,
+    epochs: tuple[int, int] = (8, 52),
+    rate: float = 0.3,
     decay: float = 1e-3,
-    damp: float = 0.0,
+    damp: float = 0.3,
     least_share: float = 0.004,
     seed: int = 7,
 ) -> ToxicityModel:
@@ -159,7 +159,7 @@ def _fit_passages(texts: list[str], toxic: np.ndarray, dim, epochs, rate, decay,
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = 1500, most_chars: int = 200_000
+    docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = 2000, most_chars: int = 200_000
 ) -> ToxicityModel:
     """Learn from at most ``per_class`` labelled texts of each class, each of at most ``most_chars`` characters.
 
