@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import load_table
 from .decontaminate import contaminated, mark_contamination
 from .line_dedup import drop_boilerplate
+from .near_dedup import near_duplicates
 from .pieces import encode_texts, load_vocabulary
 from .pii import KINDS, find_personal_data, span_list
 from .toxicity import fit_toxicity, score_toxicity
@@ -166,3 +167,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_texts(docs, load_vocabulary(PIECE_MODEL), check="round_trip")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # two words a shingle, by the query's contract
+    return near_duplicates(load_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
