@@ -13,6 +13,7 @@ longer piece; paths converge there by themselves. Stretches between such boundar
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -58,6 +59,7 @@ class Encoder:
         plain = [(p, i) for i, p in enumerate(vocabulary.pieces) if i not in vocabulary.special]
         self._id = {p: i for p, i in plain}
         self._score = {p: vocabulary.scores[i] for p, i in plain}
+        self._known = frozenset(self._id)
         self._bytes = vocabulary.byte_ids
         self._longest = max((len(p) for p in self._id), default=1)
         self._literal = [self._bytes[b] for b in BLANK.encode()]
@@ -95,7 +97,8 @@ class Encoder:
             if known is None:
                 known = self._older.get(stretch)
                 if known is None:
-                    known = tuple(chain.from_iterable(map(self._ids_of, self.path(stretch))))
+                    path = self._short_path if len(stretch) <= SHORT else self.path
+                    known = tuple(chain.from_iterable(map(self._ids_of, path(stretch))))
                 if len(stretch) <= SHORT:
                     if len(self._kept) >= KEPT_STRETCHES:
                         self._older, self._kept = self._kept, {}
@@ -132,6 +135,25 @@ class Encoder:
                     check += longest
         yield from self._trace(back, last, done, n)
 
+    def _short_path(self, chars: str) -> list[str]:
+        """``path`` of a stretch that fits into one window of backpointers."""
+        known, longest, kept, beside = self._known, self._longest, self._beside, self._may_stand_beside
+        n = len(chars)
+        back, last = [0] * (n + 1), [""] * (n + 1)
+        for end in range(1, n + 1):
+            for begin in range(end - longest if end > longest else 0, end):
+                piece = chars[begin:end]
+                if piece in known or begin + 1 == end:
+                    if begin:
+                        fits = kept.get((last[begin], piece))
+                        if fits is None:
+                            fits = beside(last[begin], piece)
+                        if not fits:
+                            continue
+                    back[end], last[end] = begin, piece
+                    break
+        return self._trace(back, last, 0, n)
+
     def _meeting(self, back: dict[int, int], end: int, done: int) -> int:
         """The last boundary that all paths ending in the window have in common."""
         fronts = {at for at in range(end - self._longest + 1, end + 1) if at in back}
@@ -142,7 +164,7 @@ class Encoder:
         return fronts.pop() if fronts else done
 
     @staticmethod
-    def _trace(back: dict[int, int], last: dict[int, str], done: int, end: int) -> list[str]:
+    def _trace(back, last, done: int, end: int) -> list[str]:
         pieces = []
         while end > done:
             pieces.append(last[end])
@@ -161,31 +183,43 @@ class Encoder:
     def _merged(self, chars: str) -> list[str]:
         """What the model's merges make of two pieces' characters: the best score first, then the leftmost."""
         parts = list(chars)
-        score = self._score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                value = score.get(parts[i] + parts[i + 1])
-                if value is not None and (best is None or value > best):
-                    best, at = value, i
-            if best is None:
-                break
+        none = float("-inf")
+        score = self._score.get
+        values = [score(a + b, none) for a, b in zip(parts, parts[1:])]  # of merging each part with the next
+        while values and (best := max(values)) > none:
+            at = values.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]
+            if at:
+                values[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(values):
+                values[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(key: str, vocabulary) -> Encoder:
+    """The encoder of a job; a worker keeps the last one, with what it has learnt, for its next tasks."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary.value)
+    return _encoders[key]
+
+
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
     """``docs`` with the ids of every whole text as an array; ``check`` names a column that tells whether decoding gives the text back.
 
     A null text has null ids (and a null check), an empty one an empty array. Rows stay one to one; columns of
     these names are replaced. The vocabulary (a fixed file's pieces) is broadcast.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent, key = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
     rest = [c for c in docs.columns if c not in (ids, check)]
     schema = docs.select(*rest)._jdf.schema().toDDL() + f", `{ids}` array<int>" + (f", `{check}` boolean" if check else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(key, sent)
         for batch in batches:
             for part in _slices(batch, text):
                 bodies = part.column(text).to_pylist()
@@ -210,11 +244,11 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 def decode_ids(rows: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", text: str = "text") -> DataFrame:
     """``rows`` with the text of their ids; null ids give a null text. Columns of that name are replaced."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    sent, key = rows.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
     rest = [c for c in rows.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(key, sent)
         for batch in batches:
             yield batch[rest].assign(**{text: [None if v is None else encoder.decode(list(v)) for v in batch[ids]]})
 
