@@ -13,6 +13,7 @@ from .line_dedup import drop_boilerplate
 from .near_dedup import near_duplicates
 from .pieces import encode_texts, load_vocabulary
 from .pii import KINDS, find_personal_data, span_list
+from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .digest import compare_with_next
 from .language import fit_language_model, held_out, identify_languages
@@ -173,3 +174,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # two words a shingle, by the query's contract
     return near_duplicates(load_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = remove_repeats(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
