@@ -3,10 +3,10 @@
 A text's set is that of its distinct word shingles. One hash function fills ``BINS`` bins with the least hash that
 falls into each; an empty bin borrows from the first filled bin of a random order of its own. Bands of ``ROWS`` bins
 give buckets. Texts with equal sets are one class, and only the least id of a class goes on. In a bucket one centre
-is a candidate partner of every other member; candidates are confirmed on full sets; what is linked becomes one
-component. A centre has then met everyone in the bucket and leaves it. Buckets with members of two or more components
-go on with more centres a round, until there are none: every pair that shares a bucket is either in one component,
-too unequal in size to be linked, or was compared. In a group of copies of one text the first centre settles nearly all.
+(the member whose buckets are fullest) is a candidate partner of every other member; candidates are confirmed on full
+sets; what is linked becomes one component. In a group of copies of one text that settles nearly all. Members of buckets that still hold two or more
+components are compared by an exact filter on their rarest shared shingles (``_close_pairs``), so every pair that
+shares a bucket is in one component, was compared, or provably differs too much.
 Two texts with similarity 0.8 share none of the 32 buckets with a probability of 5e-8.
 """
 
@@ -116,8 +116,11 @@ def near_duplicates(
     lead = written(sets.groupBy("set_hash").agg(F.min("id").alias("node")))
     banded = sets.select(F.col("id").alias("node"), "set_hash", "n_shingles", "bands").join(lead, ["node", "set_hash"], "left_semi")
     placed = banded.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")).distinct()
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(placed.join(shared, "bucket"))
+    # who shares most buckets with most others: of edited copies of one text, the text itself
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = members.drop("n").join(weight, "node").select("bucket", "node", "size", "weight")
 
     bodies = written(rows.withColumnRenamed("id", "node").join(members.select("node").distinct(), "node", "left_semi"))
     links = _linked(members, bodies, shingle, percent)
@@ -136,39 +139,78 @@ def near_duplicates(
 
 
 def _linked(members: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) that connect all nodes which confirmed candidates connect. ``members``: bucket, node, size."""
-    spark = members.sparkSession
-    root = spark.createDataFrame([], "u long, v long")
-    failed = spark.createDataFrame([], "centre long, node long")
-    centres = 1
-    while True:
-        placed = members.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn(
-            "root", F.coalesce("root", "node")
-        )
-        # buckets of one component are done
-        apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-        live = cut(placed.join(apart, "bucket").select("bucket", "node", "size", "root"))
-        if live.isEmpty():
-            return root
-        # the row limit is applied before the shuffle too, so a hot bucket sends few rows to a task
-        first = (
-            live.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node", "size")))
-            .where(F.col("rank") <= centres)
-            .select("bucket", *[F.col(c).alias(f"centre_{c}") for c in ("node", "size", "root")])
-        )
-        star = live.join(first, "bucket").where(
-            f"node > centre_node AND root <> centre_root AND 100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)"
-        )
-        pairs = star.select(F.col("centre_node").alias("centre"), "node").distinct().join(failed, ["centre", "node"], "left_anti")
-        both = pairs.join(bodies, "node").join(
-            bodies.select(F.col("node").alias("centre"), F.col("body").alias("centre_body")), "centre"
+    """Links (u, v) that connect all nodes which confirmed candidates connect. ``members``: bucket, node, size, weight."""
+    # of every bucket the fullest member is the centre of a star
+    centre = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size")).alias("c"))
+    star = members.join(centre.select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.size").alias("centre_size")), "bucket")
+    pairs = star.where(
+        f"node <> centre AND 100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)"
+    ).select("centre", "node").distinct()
+    links = _confirmed(pairs, bodies, shingle, percent)
+    root = stars(links)
+
+    placed = members.join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn(
+        "root", F.coalesce("root", "node")
+    )
+    # buckets of one component are done
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    live = placed.join(apart, "bucket").select("node", "root").distinct()
+    rest = _confirmed(_close_pairs(live, bodies, shingle, percent), bodies, shingle, percent)
+    return root.unionByName(rest)
+
+
+def _confirmed(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(u, v) of the pairs (centre, node) whose full sets are similar enough."""
+    both = pairs.join(bodies, "node").join(bodies.select(F.col("node").alias("centre"), F.col("body").alias("centre_body")), "centre")
+    judged = cut(both.mapInPandas(_confirm(shingle, percent), "centre long, node long, linked boolean"))
+    return judged.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+
+
+def _tokens(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = words.encoded(batch["body"])
+            for part in words.pieces([len(t) for t in texts]):
+                own = [s.view(np.int64) for s in shingle_sets(texts[part], k)]
+                yield batch[["node", "root", "version"]].iloc[part].assign(tokens=own, size=[len(s) for s in own])
+
+    return run
+
+
+def _close_pairs(nodes: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (centre, node) of different components that may be similar enough, by the rarest shingles they share.
+
+    With all shingles in one order, the rarest first, the first that two sets share must come so early in both that
+    what follows can still make up the overlap they need. Pairs that a centre could not settle, in groups of texts
+    that share much and yet too little, mostly have no such shingle; none that is similar enough is lost.
+    """
+    tokens = written(
+        nodes.join(bodies, "node")
+        .withColumn("version", F.xxhash64("body"))
+        .mapInPandas(_tokens(shingle), "node long, root long, version long, tokens array<long>, size long")
+        .select("node", "root", "version", "size", F.explode("tokens").alias("token"))
+    )
+    rarity = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    in_order = Window.partitionBy("node", "version").orderBy("n", "token")  # one set
+    early = (
+        tokens.join(rarity, "token")
+        .withColumn("at", F.row_number().over(in_order))
+        .where(f"at <= size - (size * {percent} + 99) div 100 + 1 AND n > 1")
+        .select("token", "node", "root", "size", "at")
+    )
+    early = written(early)
+    other = early.select("token", *[F.col(c).alias(f"centre_{c}") for c in ("node", "root", "size", "at")])
+    overlap = f"((size + centre_size) * {percent} + {99 + percent}) div {100 + percent}"
+    return (
+        early.join(other, "token")
+        .where(
+            f"(size < centre_size OR size = centre_size AND node < centre_node) AND root <> centre_root"
+            f" AND 100 * size >= {percent} * centre_size"
+            f" AND at <= size - {overlap} + 1 AND centre_at <= centre_size - {overlap} + 1"
         )
-        judged = cut(both.mapInPandas(_confirm(shingle, percent), "centre long, node long, linked boolean"))
-        failed = failed.unionByName(judged.where("NOT linked").select("centre", "node"))
-        links = judged.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-        root = stars(root.unionByName(links))
-        members = live.join(first.select("bucket", F.col("centre_node").alias("node")), ["bucket", "node"], "left_anti").drop("root")
-        centres *= 8
+        .select(F.col("centre_node").alias("centre"), "node")
+        .distinct()
+    )
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
