@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load_table
+from .chat import repair_turns
 from .decontaminate import contaminated, mark_contamination
 from .line_dedup import drop_boilerplate
 from .near_dedup import near_duplicates
@@ -180,3 +181,9 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = remove_repeats(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op5_chat_format")
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_turns(turns).drop("text")
