@@ -51,10 +51,12 @@ def drop_boilerplate(
     ratio: float = RATIO,
     least_pages: int = LEAST_PAGES,
     dropped: str | None = None,
+    size: str | None = None,
 ) -> DataFrame:
     """``pages`` with their texts without boilerplate lines; the other lines keep their order, and texts without any stay as they are.
 
-    Rows stay one to one and a null text stays null. ``dropped`` names a column for the number of lines dropped.
+    Rows stay one to one, a null text stays null and a text of boilerplate only becomes empty. ``dropped`` names a column for the number of lines dropped,
+    ``size`` one that is set to the text's new length in characters where lines were dropped.
 
     The lines to drop are one array per host: each is on more than ``ratio`` of its pages, so a host has at most
     (mean lines of a page / ratio) of them, whatever its size. The arrays are counted: up to ``BROADCAST_LINES`` hashes
@@ -78,7 +80,9 @@ def drop_boilerplate(
     kept = F.filter(lines, lambda l: ~F.array_contains("_drop", F.xxhash64(line_key(l))) | (line_key(l) == ""))
     marked = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
     changed = F.col("_kept").isNotNull() & (F.size("_kept") < F.size(lines))
-    out = [F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns]
+    shorter = F.array_join("_kept", "\n")
+    new = {text: shorter, size: F.length(shorter).cast(dict(pages.dtypes).get(size, "long"))}
+    out = [F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns]
     if dropped:
         out.append(F.when(changed, F.size(lines) - F.size("_kept")).otherwise(0).cast("long").alias(dropped))
     return marked.select(*out)
