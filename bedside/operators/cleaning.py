@@ -83,12 +83,12 @@ def with_label(df: DataFrame, kind: str, name: str = "label") -> DataFrame:
 def to_wide(
     long: DataFrame,
     demographics: DataFrame,
-    key: Sequence[str] = ("subject_id",),
+    key: Sequence[str] = ("subject_id", "starttime"),
     categories: Sequence[str] = CATEGORIES,
 ) -> DataFrame:
-    """One row per ``key`` with a numeric column per category, plus age, gender and vasopressor flag.
+    """One row per ``key`` (by default an episode of a patient: a patient may have several samples) with a numeric column per category, plus age, gender and vasopressor flag.
 
-    ``demographics`` has ``gender``, ``age`` and optionally ``vaso``, several rows per key allowed.
+    ``demographics`` has ``gender``, ``age`` and optionally ``vaso``, several rows per key allowed. An unknown gender stays NULL.
     The category list is fixed, so the pivot needs no pass of its own.
     """
     wide = (
@@ -96,7 +96,7 @@ def to_wide(
     )
     vaso = F.max("vaso") if "vaso" in demographics.columns else F.lit(0)
     people = demographics.groupBy(*key).agg(
-        F.max(F.when(F.col("gender") == "M", 1).otherwise(0)).alias("gender"),
+        F.max(F.when(F.col("gender") == "M", 1).when(F.col("gender") == "F", 0)).alias("gender"),
         F.min("age").alias("age"),
         vaso.alias("vaso"),
     )

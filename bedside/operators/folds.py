@@ -205,8 +205,10 @@ def exact_folds(
 ) -> DataFrame:
     """Folds whose sizes differ by at most one: rows are dealt out in turn, in the order of their key's hash.
 
-    The order covers the whole table, so it is always numbered in slices of the (evenly spread) hash.
+    The order covers the whole table, so it is always numbered in slices of the (evenly spread) hash, of about a
+    million rows each.
     """
+    bits = max(12, (df.count() // 1_000_000).bit_length())
     hashed = df.withColumns({"__all": F.lit(1), "__hash": F.xxhash64(*key, F.lit(seed))})
     dealt = running(
         hashed,
@@ -214,7 +216,7 @@ def exact_folds(
         "__hash",
         {"__nth": position()},
         ties=list(key),
-        slices=F.shiftright("__hash", 52),
+        slices=F.shiftright("__hash", 64 - bits),
     )
     return dealt.withColumn(name, F.pmod(F.col("__nth") - 1, F.lit(k)).cast("int")).select(
         *df.columns, name

@@ -90,10 +90,12 @@ def charted_infusions(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Infusions per (stay, item): from the first charted rate to the first stop marker of the same number."""
-    marked = mark_infusions(charted_rates(df, swapped, stop_words), hot_rows)
+    # a stay is a timeline of its own, so rows without one can go before the windows
+    known = df.where(F.col("icustay_id").isNotNull())
+    marked = mark_infusions(charted_rates(known, swapped, stop_words), hot_rows)
     at_stop = F.when(F.col("vaso_first") == F.col("vaso_stop"), F.col("charttime"))
     return (
-        marked.where((F.col("vaso_first") != 0) & F.col("icustay_id").isNotNull())
+        marked.where(F.col("vaso_first") != 0)
         .groupBy(*_BY, "vaso_first")
         .agg(
             F.min(F.when(F.col("vaso_rate").isNotNull(), F.col("charttime"))).alias("starttime"),

@@ -95,7 +95,8 @@ def merge_intervals(
     A start opens a merged interval if no interval that began strictly earlier reaches it; an end
     closes one if no interval that began by then reaches beyond it; each opening start takes the
     next closing end. A malformed interval (start after end) covers nothing, but its two bounds
-    still count, which is what the pairwise formulation of this rule gives.
+    still count, which is what the pairwise formulation of this rule gives. The same holds for an interval
+    with one NULL bound: the bound it has opens or closes, and it covers nothing. A NULL key belongs to no timeline.
     """
     return merge_with_plan(df, by, start, end, hot_rows=hot_rows)[0]
 
@@ -109,13 +110,11 @@ def merge_with_plan(
     hot_rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """``merge_intervals`` plus whether timelines had to be split, for running steps that follow."""
-    usable = df.where(
-        F.col(start).isNotNull() & F.col(end).isNotNull() & _all_not_null(by)
-    )
+    usable = df.where(_all_not_null(by))
     reach = F.when(F.col(start) <= F.col(end), F.col(end))
     none = F.lit(None).cast(dict(df.dtypes)[end])
-    opening = usable.select(*by, F.col(start).alias("at"), reach.alias("reach"), F.lit(1).alias("opens"), F.lit(0).alias("closes"))
-    closing = usable.select(*by, F.col(end).alias("at"), none.alias("reach"), F.lit(0).alias("opens"), F.lit(1).alias("closes"))
+    opening = usable.where(F.col(start).isNotNull()).select(*by, F.col(start).alias("at"), reach.alias("reach"), F.lit(1).alias("opens"), F.lit(0).alias("closes"))
+    closing = usable.where(F.col(end).isNotNull()).select(*by, F.col(end).alias("at"), none.alias("reach"), F.lit(0).alias("opens"), F.lit(1).alias("closes"))
     bounds = cut(
         opening.union(closing)
         .groupBy(*by, "at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.temporal import MICROS_PER_MINUTE, gap_minutes
 from .events import filter_by_category
@@ -16,14 +16,15 @@ from .running import choose_slices, highest_up_to, lowest_from, running
 def argmin_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """All rows that attain the smallest ``order`` tuple of their group; NULL keys or values never do.
 
-    ``rank() = 1`` is planned with a group limit below the exchange: each map task ships only the
-    rows that tie for its own minimum, however large the group is.
+    The minimum is taken before the exchange and joined back by keys and values. A group with most of the rows, even
+    one whose rows all tie, is one row on the one side of that join, so AQE can split the other.
     """
     usable = df
     for name in [*by, *order]:
         usable = usable.where(F.col(name).isNotNull())
-    w = Window.partitionBy(*by).orderBy(*[F.col(o).asc() for o in order])
-    return usable.withColumn("__rank", F.rank().over(w)).where(F.col("__rank") == 1).drop("__rank")
+    least = usable.groupBy(*by).agg(F.min(F.struct(*order)).alias("__least"))
+    least = least.select(*by, *[F.col("__least")[o].alias(o) for o in order])
+    return usable.join(least, [*by, *order], "left_semi").select(*df.columns)
 
 
 def nearest_match(

@@ -218,11 +218,8 @@ class Cohort:
 
 
 def wide_samples(cohort: Cohort) -> DataFrame:
-    """Model input from the cohort's tables: one row per patient, a column per category."""
-    flags = cohort.age_gender_vaso.select(
-        "subject_id", F.col("Vesopression_infussion").cast("int").alias("vaso")
+    """Model input from the cohort's tables: one row per sample (a patient's episode), a column per category."""
+    inside = flag_in_intervals(
+        cohort.age_gender, cohort.vasopressor_durations, ["icustay_id"], "charttime", how="left", name="vaso", collapse=True
     )
-    people = cohort.age_gender.select("subject_id", "gender", "age").unionByName(
-        flags, allowMissingColumns=True
-    )
-    return to_wide(cohort.long_covariates, people)
+    return to_wide(cohort.long_covariates, inside.select("subject_id", "starttime", "gender", "age", "vaso"))

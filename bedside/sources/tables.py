@@ -48,7 +48,8 @@ def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_S
     """CSV with a header. Columns are bound by name, so their order in the file does not matter.
 
     The header line is read first (one line), and the file is then read with a full schema in the
-    order of the header; an empty cell is NULL.
+    order of the header; an empty cell is NULL. A folder's files must share one header: a file with another one fails,
+    as its cells would land in wrong columns. A cell that is no number in a numeric column fails as well.
     """
     header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
     wanted = {field.name: field for field in schema}
@@ -56,7 +57,8 @@ def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_S
     if missing:
         raise ValueError(f"columns missing in {path}: {missing}")
     full = T.StructType([wanted.get(n, T.StructField(n, T.StringType())) for n in header])
-    return spark.read.schema(full).option("header", True).csv(path).select(*schema.names)
+    reader = spark.read.schema(full).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    return reader.csv(path).select(*schema.names)
 
 
 def materialize(df: DataFrame, target: str, *, table: bool = False) -> DataFrame:

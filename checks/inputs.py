@@ -69,7 +69,7 @@ UNION ALL SELECT {_STAY}, CAST(224385 AS INT), ts FROM {{events}} WHERE event_ty
   CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 5 - 1 AS DOUBLE) END AS amount
 FROM {{events}}""",
     "inputevents_mv": f"""SELECT {_STAY} AS icustay_id, user_id * 1000 + CAST(floor(value / 12) AS BIGINT) AS linkorderid,
-  ts AS starttime, ts + (event_id % 900) * INTERVAL 1 MINUTE AS endtime,
+  ts AS starttime, CASE WHEN event_id % 17 <> 3 THEN ts + (event_id % 900) * INTERVAL 1 MINUTE END AS endtime,
   CAST(CASE event_type WHEN 'purchase' THEN 221906 WHEN 'click' THEN 221289 WHEN 'signup' THEN 222315 ELSE 225158 END AS INT) AS itemid,
   CASE WHEN event_id % 6 = 0 THEN 'Rewritten' WHEN event_id % 6 <> 1 THEN 'FinishedRunning' END AS statusdescription
 FROM {{events}}""",
@@ -77,9 +77,9 @@ FROM {{events}}""",
   CAST(CAST('1930-01-01' AS DATE) AS TIMESTAMP) + (c_custkey * 17 % 25000) * INTERVAL 1 DAY AS dob,
   CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender
 FROM {customer}""",
-    # value * 3 minutes long, ends before it starts for every 50th event
-    "spans": """SELECT user_id AS entity, event_id, ts AS starttime,
-  ts + CASE WHEN event_id % 50 = 0 THEN -1 ELSE 1 END * CAST(round(value * 180) AS BIGINT) * INTERVAL 1 SECOND AS endtime
+    # value * 3 minutes long, ends before it starts for every 50th event, one bound unknown for some
+    "spans": """SELECT user_id AS entity, event_id, CASE WHEN event_id % 31 <> 5 THEN ts END AS starttime,
+  CASE WHEN event_id % 29 <> 3 THEN ts END + CASE WHEN event_id % 50 = 0 THEN -1 ELSE 1 END * CAST(round(value * 180) AS BIGINT) * INTERVAL 1 SECOND AS endtime
 FROM {events}""",
     "samples": """SELECT l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS visit,
   l_orderkey, l_linenumber, l_partkey, l_suppkey,

@@ -150,22 +150,22 @@ def _run(t, variant: Variant, k: int = 10):
     return R.summarize(metrics)
 
 
-def _register(name: str, variant: Variant, k: int) -> None:
+def _register(name: str, variant: Variant, k: int = 10) -> None:
     @query(name)
     def _(t):
         return _run(t, variant, k)
 
 
 # Iterative models: metrics over their folds (no SQL can fit them; see tests for the closed forms).
-_register("m7_sgd_regression", Variant("regression", "sgd"), 10)
-_register("m8_kernel_huber", Variant("regression", "kernel_huber"), 3)
-_register("m9_boosted_trees", Variant("regression", "gbt"), 3)
-_register("m10_logistic", Variant("classification", "logistic"), 10)
-_register("m11_sgd_classifier", Variant("classification", "sgd"), 3)
-_register("m12_ridge_classifier", Variant("classification", "ridge"), 10)
-_register("m13_kernel_svc", Variant("classification", "kernel_svc"), 3)
-_register("m14_perceptron", Variant("classification", "mlp"), 3)
-_register("m15_four_classes", Variant("classification", "multi"), 3)
+_register("m7_sgd_regression", Variant("regression", "sgd"))
+_register("m8_kernel_huber", Variant("regression", "kernel_huber"))
+_register("m9_boosted_trees", Variant("regression", "gbt"))
+_register("m10_logistic", Variant("classification", "logistic"))
+_register("m11_sgd_classifier", Variant("classification", "sgd"))
+_register("m12_ridge_classifier", Variant("classification", "ridge"))
+_register("m13_kernel_svc", Variant("classification", "kernel_svc"))
+_register("m14_perceptron", Variant("classification", "mlp"))
+_register("m15_four_classes", Variant("classification", "multi"))
 
 
 def _fitted_sql(view: str) -> str:

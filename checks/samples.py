@@ -119,9 +119,11 @@ _CATS = ", ".join(f"min(TRY_CAST(value AS DOUBLE)) FILTER (category = '{c}') AS
 
 @query(
     "b1_to_wide",
-    f"""SELECT w.*, d.gender, d.age, coalesce(v.vaso, 0e0) AS vaso FROM (SELECT subject_id, {_CATS} FROM long_rows GROUP BY subject_id) w
-    LEFT JOIN (SELECT subject_id, CAST(max(CASE WHEN gender = 'M' THEN 1 ELSE 0 END) AS INT) AS gender, min(age) AS age FROM demographics GROUP BY subject_id) d USING (subject_id)
-    LEFT JOIN (SELECT subject_id, CAST(max(CAST(Vesopression_infussion AS INT)) AS DOUBLE) AS vaso FROM demo_vaso GROUP BY subject_id) v USING (subject_id)""",
+    f"""SELECT w.*, d.gender, d.age, coalesce(v.vaso, 0e0) AS vaso FROM (SELECT subject_id, starttime, {_CATS} FROM long_rows GROUP BY ALL) w
+    LEFT JOIN (SELECT subject_id, starttime, CAST(max(CASE gender WHEN 'M' THEN 1 WHEN 'F' THEN 0 END) AS INT) AS gender, min(age) AS age
+               FROM demographics GROUP BY ALL) d USING (subject_id, starttime)
+    LEFT JOIN (SELECT DISTINCT m.subject_id, m.starttime, 1e0 AS vaso FROM demographics m
+               JOIN durations u ON m.icustay_id = u.icustay_id AND m.charttime BETWEEN u.starttime AND u.endtime) v USING (subject_id, starttime)""",
     "age vaso " + " ".join(C.CATEGORIES),
 )
 def _(t):

@@ -144,10 +144,14 @@ def test_statistics(spark):
 
 def test_wide_form(spark):
     long = spark.createDataFrame(
-        [(1, "Spo2", "95"), (1, "Spo2", "94"), (1, "Peep", "n/a"), (2, "Fio2", "0.4")], "subject_id long, category string, value string"
+        [(1, 10, "Spo2", "95"), (1, 10, "Spo2", "94"), (1, 10, "Peep", "n/a"), (1, 20, "Spo2", "88"), (2, 10, "Fio2", "0.4")],
+        "subject_id long, starttime long, category string, value string",
+    )
+    people = spark.createDataFrame(
+        [(1, 10, "M", 60.0, 1), (1, 10, "M", 60.0, 0), (1, 20, None, 61.0, 0)],
+        "subject_id long, starttime long, gender string, age double, vaso int",
     )
-    people = spark.createDataFrame([(1, "M", 60.0, 1), (1, "M", 60.0, 0)], "subject_id long, gender string, age double, vaso int")
     out = to_wide(long, people)
-    assert rows(out, "subject_id", "Spo2", "Peep", "Fio2", "gender", "age", "vaso") == [
-        (1, 94.0, None, None, 1, 60.0, 1.0), (2, None, None, 0.4, None, None, 0.0),
+    assert rows(out, "subject_id", "starttime", "Spo2", "Peep", "Fio2", "gender", "age", "vaso") == [
+        (1, 10, 94.0, None, None, 1, 60.0, 1.0), (1, 20, 88.0, None, None, None, 61.0, 0.0), (2, 10, None, None, 0.4, None, None, 0.0),
     ]

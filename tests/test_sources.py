@@ -21,6 +21,19 @@ def test_csv_is_bound_by_name(spark, tmp_path):
         read_samples(spark, str(bad))
 
 
+def test_csv_files_of_one_folder_share_a_header(spark, tmp_path):
+    names = "subject_id,gender,age,Spo2,Fio2,Peep,Vt,Map,Temperature,vaso,Pao2,Sao2,Paco2".split(",")
+    values = [str(i) for i in range(1, 14)]
+    folder = tmp_path / "samples"
+    folder.mkdir()
+    (folder / "a.csv").write_text(",".join(names) + "\n" + ",".join(values) + "\n")
+    (folder / "b.csv").write_text(",".join(names) + "\n" + ",".join(values) + "\n")
+    assert [r["Paco2"] for r in read_samples(spark, str(folder)).collect()] == [13.0, 13.0]
+    (folder / "b.csv").write_text(",".join(names[::-1]) + "\n" + ",".join(values[::-1]) + "\n")
+    with pytest.raises(Exception, match="header"):
+        read_samples(spark, str(folder)).collect()
+
+
 def test_materialize_replaces(spark, tmp_path):
     path = str(tmp_path / "t")
     materialize(spark.range(5).toDF("id"), path)

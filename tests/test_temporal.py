@@ -108,6 +108,19 @@ def test_malformed_interval_counts_by_its_bounds(spark, hot_rows):
     assert hours(merge_intervals(df, ["k"], hot_rows=hot_rows)) == [(1, 3), (10, 30), (20, 30)]
 
 
+def test_interval_with_one_bound_opens_or_closes(spark, hot_rows):
+    df = spark.createDataFrame(
+        [(1, at(hours=5), None), (1, at(hours=10), at(hours=12)), (1, None, at(hours=7)), (1, None, None), (None, at(), at(hours=1))], INTERVAL
+    )
+    assert hours(merge_intervals(df, ["k"], hot_rows=hot_rows)) == [(5, 7), (10, 12)]
+    assert hours(merge_intervals(df.where("starttime IS NOT NULL"), ["k"], hot_rows=hot_rows)) == [(5, 12), (10, 12)]
+
+
+def test_group_of_ties_keeps_all(spark):
+    df = spark.createDataFrame([(1, 0, i) for i in range(50)] + [(2, 3, 0), (2, None, 1), (None, 0, 2)], "k int, v int, i int")
+    assert argmin_rows(df, ["k"], ["v"]).count() == 51
+
+
 def test_event_at_both_bounds_of_the_first_day(spark):
     long = spark.createDataFrame([(1, at(), at(days=3))], INTERVAL)
     short = spark.createDataFrame([(2, at(), at(hours=5))], INTERVAL)
