@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ngrams, words
@@ -118,16 +119,15 @@ def identify_languages(
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_set")]
     schema = docs.select(*rest)._jdf.schema().toDDL() + ", lang_pred string, score double, lang_set string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ngrams.WordValues(sent.value, SIZES)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch[text]]
-            found: list[tuple[str, float, str]] = []
-            for part in ngrams.batches(texts):
-                found += _identify(part, known, langs, penalty, steps, widest)
-            yield batch[rest].assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found], lang_set=[f[2] for f in found])
+            for part in words.slices(batch, text):
+                found = _identify([t or "" for t in part.column(text).to_pylist()], known, langs, penalty, steps, widest)
+                told = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*map(part.column, rest), *told], [*rest, "lang_pred", "score", "lang_set"])
 
-    return docs.select(*rest).mapInPandas(run, schema)
+    return docs.select(*rest).mapInArrow(run, schema)
 
 
 def _identify(texts: list[str], known: ngrams.WordValues, langs: list[str], penalty, steps, widest) -> list[tuple[str, float, str]]:

@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
@@ -64,40 +64,44 @@ def buckets(own: np.ndarray) -> np.ndarray:
 
 
 def _sign(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = words.encoded(batch["body"])
-            n, digest, bands = [], [], []
-            for part in words.pieces([len(t) for t in texts]):
-                for own in shingle_sets(texts[part], k):
+            for part in words.slices(batch, "body"):
+                n, digest, bands = [], [], []
+                for own in shingle_sets(words.encoded(part.column("body").to_pylist()), k):
                     n.append(len(own))
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     bands.append(buckets(own) if len(own) else [])
-            yield pd.DataFrame({"id": batch["id"], "n_shingles": n, "set_hash": digest, "bands": bands})
+                found = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *found], ["id", "n_shingles", "set_hash", "bands"])
 
     return run
 
 
 def _confirm(k: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(len(batch), dtype=bool)
-            # centres repeat: the texts of a piece are split once each
-            pairs = list(zip(batch["centre_body"], batch["body"]))
-            for part in words.pieces([len(b) for _, b in pairs]):
+            for part in words.slices(batch, "body"):
+                # centres repeat: the texts of a part are split once each
                 number: dict[str, int] = {}
-                at = [(number.setdefault(a, len(number)), number.setdefault(b, len(number))) for a, b in pairs[part]]
+                pairs = zip(part.column("centre_body").to_pylist(), part.column("body").to_pylist())
+                at = [(number.setdefault(a, len(number)), number.setdefault(b, len(number))) for a, b in pairs]
                 sets = list(shingle_sets(words.encoded(number), k))
-                for i, (a, b) in enumerate(at, part.start):
-                    x, y = sets[a], sets[b]
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        linked[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch[["centre", "node"]].assign(linked=linked)
+                linked = [_similar(sets[a], sets[b], percent) for a, b in at]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("centre"), part.column("node"), pa.array(linked, pa.bool_())], ["centre", "node", "linked"]
+                )
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -109,7 +113,7 @@ def near_duplicates(
     rows share its component. Null ids are linked with nothing, have a null component and are kept.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("body"))
-    signed = written(rows.mapInPandas(_sign(shingle), "id long, n_shingles long, set_hash binary, bands array<long>"))
+    signed = written(rows.mapInArrow(_sign(shingle), "id long, n_shingles long, set_hash binary, bands array<long>"))
     sets = signed.where("id IS NOT NULL AND n_shingles > 0")
 
     # classes of equal sets
@@ -162,17 +166,19 @@ def _linked(members: DataFrame, bodies: DataFrame, shingle: int, percent: int) -
 def _confirmed(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v) of the pairs (centre, node) whose full sets are similar enough."""
     both = pairs.join(bodies, "node").join(bodies.select(F.col("node").alias("centre"), F.col("body").alias("centre_body")), "centre")
-    judged = cut(both.mapInPandas(_confirm(shingle, percent), "centre long, node long, linked boolean"))
+    judged = cut(both.mapInArrow(_confirm(shingle, percent), "centre long, node long, linked boolean"))
     return judged.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 
 def _tokens(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = words.encoded(batch["body"])
-            for part in words.pieces([len(t) for t in texts]):
-                own = [s.view(np.int64) for s in shingle_sets(texts[part], k)]
-                yield batch[["node", "root", "version"]].iloc[part].assign(tokens=own, size=[len(s) for s in own])
+            for part in words.slices(batch, "body"):
+                own = [s.view(np.int64) for s in shingle_sets(words.encoded(part.column("body").to_pylist()), k)]
+                found = [pa.array(own, pa.list_(pa.int64())), pa.array([len(s) for s in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(part.column, ("node", "root", "version")), *found], ["node", "root", "version", "tokens", "size"]
+                )
 
     return run
 
@@ -187,7 +193,7 @@ def _close_pairs(nodes: DataFrame, bodies: DataFrame, shingle: int, percent: int
     tokens = written(
         nodes.join(bodies, "node")
         .withColumn("version", F.xxhash64("body"))
-        .mapInPandas(_tokens(shingle), "node long, root long, version long, tokens array<long>, size long")
+        .mapInArrow(_tokens(shingle), "node long, root long, version long, tokens array<long>, size long")
         .select("node", "root", "version", "size", F.explode("tokens").alias("token"))
     )
     rarity = tokens.groupBy("token").agg(F.count("*").alias("n"))

@@ -21,7 +21,6 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words
@@ -221,7 +220,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, sent)
         for batch in batches:
-            for part in _slices(batch, text):
+            for part in words.slices(batch, text):
                 bodies = part.column(text).to_pylist()
                 found = [encoder.encode(t or "") for t in bodies]
                 gone = np.array([t is None for t in bodies], dtype=bool)
@@ -236,12 +235,6 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
     return docs.select(*rest).mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-    for part in words.pieces(sizes):
-        yield batch.slice(part.start, part.stop - part.start)
-
-
 def decode_ids(rows: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", text: str = "text") -> DataFrame:
     """``rows`` with the text of their ids; null ids give a null text. Columns of that name are replaced."""
     sent, key = rows.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex

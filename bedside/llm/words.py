@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Everything but blanks: [^\x20\x09-\x0D]
@@ -104,3 +106,9 @@ def pieces(sizes: list[int], limit: int = 1 << 20) -> Iterator[slice]:
 def encoded(texts) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+
+
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about a million bytes of text, so that a task has only those as Python objects."""
+    for part in pieces(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        yield batch.slice(part.start, part.stop - part.start)
