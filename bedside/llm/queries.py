@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import load_table
 from .chat import repair_turns
 from .decontaminate import contaminated, mark_contamination
+from .lexical import rank_documents
 from .line_dedup import drop_boilerplate
 from .near_dedup import near_duplicates
 from .pieces import encode_texts, load_vocabulary
@@ -187,3 +188,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair_turns(turns).drop("text")
+
+
+TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+WITH item AS (
+  SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark)
+), doc AS (
+  SELECT doc_id, {TERMS} AS terms FROM documents
+), total AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS holding, CAST(sum(len(terms)) AS BIGINT) AS everything FROM doc
+), counted AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM doc) GROUP BY doc_id, n, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * holding + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, total GROUP BY term, holding
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * holding) // everything)))) AS BIGINT) AS score
+  FROM item JOIN counted USING (term) JOIN weight USING (term), total GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+""",
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rank_documents(docs, load_table(spark, sf_dir, "benchmark").select("item_id", "text"))
