@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import load_table
 from .chat import repair_turns
 from .decontaminate import contaminated, mark_contamination
+from .filter_audit import audit_filters
 from .lexical import rank_documents
 from .line_dedup import drop_boilerplate
 from .near_dedup import near_duplicates
@@ -217,3 +218,50 @@ FROM scored WHERE score > 0 QUALIFY rank <= 10
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     return rank_documents(docs, load_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), least AS (
+  SELECT body, min(doc_id) AS first_id FROM doc GROUP BY body
+), masked AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS mask
+  FROM doc JOIN least USING (body)
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM masked LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), letter AS (
+  SELECT unnest(range(5)) AS k
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS (
+  SELECT list_aggregate(list_transform(o, lambda x: chr(CAST(65 + x AS INTEGER))), 'string_agg', '') AS filter_order, step,
+    CAST(1 << o[step] AS INTEGER) AS own, CAST(coalesce(list_sum(list_transform(o[:step - 1], lambda x: 1 << x)), 0) AS INTEGER) AS before
+  FROM (SELECT o, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders)
+), summed AS (
+  SELECT part, filter_order, step, own,
+    CAST(sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+""",
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit_filters(docs, load_table(spark, sf_dir, "labels"))
