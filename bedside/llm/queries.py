@@ -16,6 +16,7 @@ from .line_dedup import drop_boilerplate
 from .near_dedup import near_duplicates
 from .pieces import encode_texts, load_vocabulary
 from .pii import KINDS, find_personal_data, span_list
+from .quality import fit_quality, score_quality
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .digest import compare_with_next
@@ -265,3 +266,13 @@ FROM summed
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return audit_filters(docs, load_table(spark, sf_dir, "labels"))
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out())
+    scored = score_quality(docs, fit_quality(docs.where(~held_out()), labels))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
