@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,18 +40,22 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, but as Parquet: later reads prune columns, push filters down and know the size."""
+def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Like ``cut``, but as Parquet: later reads prune columns, push filters down and know the size.
+
+    With ``partition_by``, filters on those columns choose the files that are read.
+    """
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
+    return df.sparkSession.read.schema(df.select(*columns).schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files behind a table that ``written`` made, once nothing reads it any more."""
     spark = df.sparkSession
-    roots = {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}
-    for root in roots:
-        if root.startswith(re.sub(r"^file:/*", "file:///", spark.sparkContext.getCheckpointDir())):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    top = re.sub(r"^file:/*", "file:///", spark.sparkContext.getCheckpointDir()) + "/"
+    names = {f.removeprefix(top).split("/")[0] for f in df.inputFiles() if f.startswith(top)}
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top + name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
