@@ -83,6 +83,12 @@ def learners(models: Sequence[int], fold: np.ndarray) -> Iterator[tuple[int, np.
         yield g, fold != out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that come in fewer partitions than there are cores, as from one small file, are dealt out; others stay."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def total(rows: DataFrame, features: Sequence[str], add: Callable[[Batch], np.ndarray], size: int) -> np.ndarray:
     """Sum over the record batches of ``rows`` (columns ``features``, ``label``, ``fold``) of the ``size`` numbers ``add`` returns.
 

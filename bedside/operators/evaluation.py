@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import ratio
 from ..sources.lineage import cut
@@ -81,6 +81,42 @@ def binary_rates(df: DataFrame, by: Sequence[str], label: str, predicted: str) -
     )
 
 
+def confusion_table(df: DataFrame, by: Sequence[str], label: str, predicted: str) -> DataFrame:
+    """Rows of each pair of true and predicted class, for any number of classes; pairs without rows are left out."""
+    return df.groupBy(*by, F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_metrics(df: DataFrame, by: Sequence[str], label: str, predicted: str) -> DataFrame:
+    """Per class that occurs as truth or prediction: ``support``, ``precision``, ``recall``, ``f1``, and the ``accuracy`` over all classes.
+
+    NULL where a denominator is zero. One row per class pair is left after the first aggregation.
+    """
+    pairs = confusion_table(df, by, label, predicted)
+    both = F.explode(
+        F.array(
+            F.struct(F.col("label").alias("class"), F.col("n").alias("true"), F.lit(0).cast("long").alias("found")),
+            F.struct(F.col("predicted").alias("class"), F.lit(0).cast("long").alias("true"), F.col("n").alias("found")),
+        )
+    )
+    hit = F.when(F.col("label") == F.col("predicted"), F.col("true")).otherwise(0)
+    counted = (
+        pairs.select(*by, "label", "predicted", both.alias("c"))
+        .select(*by, "label", "predicted", "c.*")
+        .groupBy(*by, "class")
+        .agg(F.sum("true").alias("support"), F.sum("found").alias("found"), F.sum(hit).alias("hits"))
+    )
+    whole = Window.partitionBy(*by)  # a row per class
+    return counted.select(
+        *by,
+        "class",
+        "support",
+        ratio(F.col("hits"), F.col("found")).alias("precision"),
+        ratio(F.col("hits"), F.col("support")).alias("recall"),
+        ratio(2 * F.col("hits"), F.col("support") + F.col("found")).alias("f1"),
+        ratio(F.sum("hits").over(whole), F.sum("support").over(whole)).alias("accuracy"),
+    )
+
+
 # --- ranking -------------------------------------------------------------------------------
 
 

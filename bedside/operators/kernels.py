@@ -21,8 +21,8 @@ from .newton import Fit, Ramp, logistic, newton_by_fold
 #: Cost of an error, width of the free tube of the regression.
 COST = 1.0
 TUBE = 0.1
-#: Rounding of the losses' corner, in turn.
-CORNERS = (0.5, 0.1, 0.02)
+#: Rounding of the losses' corner, in turn; the first takes in margins of 0, where a fit starts.
+CORNERS = (2.0, 0.5, 0.1, 0.02)
 
 
 def farthest(points: np.ndarray, many: int) -> np.ndarray:
@@ -127,7 +127,7 @@ def fit_machines(
         loss = Ramp("hinge", 0.0, corner) if hinge else Ramp("insensitive", TUBE, corner)
         fit = newton_by_fold(
             rows, scale, loss, penalty, inputs=inputs, width=kernel.width, targets=targets,
-            start=None if fit is None else fit.coefficients, tolerance=1e-7,
+            start=None if fit is None else fit.coefficients, tolerance=1e-6,
         )
         passes += fit.passes
     machine = Machine(kernel, fit, passes)

@@ -175,12 +175,15 @@ def fit_classifier(
 
 
 def apply_model(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Input columns plus ``predicted`` and, for classifiers, ``score`` (probability or margin of class 1)."""
-    out = model.transform(df)
-    if "probability" in out.columns:
+    """Input columns plus ``predicted`` and, for classifiers, ``score`` (probability or margin of class 1); columns of these names are replaced."""
+    rest = [c for c in df.columns if c not in ("predicted", "score")]
+    out = model.transform(df.select(*rest))
+    if "score" in out.columns:
+        score = F.col("score")
+    elif "probability" in out.columns:
         score = vector_to_array("probability")[1]
     elif "margin" in out.columns:
         score = F.col("margin")
     else:
-        return out.select(*df.columns, "predicted")
-    return out.select(*df.columns, "predicted", score.alias("score"))
+        return out.select(*rest, "predicted")
+    return out.select(*rest, "predicted", score.alias("score"))

@@ -146,7 +146,7 @@ def newton_by_fold(
             now = own[0] + penalty[g] / 2 * (ridge * w**2).sum()
             if now > value[g] + 1e-12 * abs(value[g]):
                 length[g] /= 2
-                if length[g] < 1e-6:
+                if length[g] < 1e-9:
                     open_.remove(g)
                 continue
             slope = own[1 : q + 1] + penalty[g] * ridge * w

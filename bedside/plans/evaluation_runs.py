@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import round_half_even
 from ..operators.cleaning import clean_cohort, feature_columns, with_label
+from ..operators.batched import spread
 from ..operators.evaluation import (
-    bic_classification, binary_rates, fold_summary, ranking_metrics, regression_metrics,
+    bic_classification, binary_rates, class_metrics, fold_summary, ranking_metrics, regression_metrics,
 )
+from ..operators.fold_models import FOLD_CLASSIFIERS, FOLD_REGRESSORS, fit_folds
 from ..operators.folds import assign_folds, cross_validated_linear, fold_moments
 from ..operators.models import (
     RIDGE_ALPHA, SGD_PENALTY, apply_model, fit_classifier, fit_regressor,
 )
-from ..sources.lineage import cut
+from ..sources.lineage import written
 from ..sources.models import Variant, load_model, save_model
 
 # With seven features the last one, a flag, is not scaled.
@@ -27,6 +29,8 @@ _FLAG = ("vaso",)
 # Penalty of the models with a closed form, and whether it is per row. The stochastic solver is
 # replaced by the optimum it approaches.
 _LINEAR = {"linear": (0.0, False), "ridge": (RIDGE_ALPHA, False), "sgd": (SGD_PENALTY, True)}
+# Models whose folds are fitted together, step by step.
+_TOGETHER = {"regression": FOLD_REGRESSORS, "classification": FOLD_CLASSIFIERS}
 
 
 def prepare(
@@ -59,11 +63,12 @@ def cross_validate(
 ) -> DataFrame:
     """Out-of-fold predictions, each row with its key, fold, label and ``predicted`` (and ``score``).
 
-    Linear models of all folds come out of one aggregation. Iterative models are fitted
-    once per fold, ``parallelism`` fits at a time, on rows that were written once.
+    Linear models of all folds come out of one aggregation, and the models of ``fold_models`` out of one aggregation
+    a step. Spark ML's estimators are fitted once per fold, ``parallelism`` fits at a time. All read rows
+    that were written once.
     """
-    # The prepared columns are few; every fold reads them again.
-    rows = cut(prepare(samples, key, variant, k=k, seed=seed, clean=clean))
+    rows = prepare(samples, key, variant, k=k, seed=seed, clean=clean)
+    rows = written(spread(rows) if variant.model in _TOGETHER[variant.task] else rows)
     return cross_validate_rows(rows, variant, seed=seed, parallelism=parallelism)
 
 
@@ -81,6 +86,9 @@ def cross_validate_rows(
             signed, features, "__sign", RIDGE_ALPHA, flags, scale_label=False, name="score"
         )
         return scored.drop("__sign").withColumn("predicted", (F.col("score") > 0).cast("double"))
+    if variant.model in _TOGETHER[variant.task]:
+        key = [c for c in rows.columns if c not in (*features, "label", "fold")]
+        return fit_folds(rows, key, variant.task, variant.model, features, flags, seed=seed).predict(rows)
 
     _, outside = fold_moments(rows, [*features, "label"])
     fit = fit_regressor if variant.task == "regression" else fit_classifier
@@ -103,10 +111,10 @@ def fold_metrics(predictions: DataFrame, variant: Variant) -> DataFrame:
         wide = regression_metrics(predictions, ["fold"], "label", "predicted", k)
         names = ["rmse", "bic"]
     elif variant.model == "multi":
-        wide = predictions.groupBy("fold").agg(
-            F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy")
+        wide = class_metrics(predictions, ["fold"], "label", "predicted").groupBy("fold").agg(
+            F.max("accuracy").alias("accuracy"), F.avg("f1").alias("macro_f1")
         )
-        names = ["accuracy"]
+        names = ["accuracy", "macro_f1"]
     else:
         rates = binary_rates(predictions, ["fold"], "label", "predicted")
         bic = predictions.groupBy("fold").agg(
@@ -150,7 +158,7 @@ def run_grid(
         variant = Variant(task, model, seven, filtered)
         subset = (seven, filtered, model == "multi")
         if subset not in prepared:
-            prepared[subset] = cut(prepare(samples, key, variant, k=k, seed=seed))
+            prepared[subset] = written(spread(prepare(samples, key, variant, k=k, seed=seed)))
         predictions = cross_validate_rows(
             prepared[subset], variant, seed=seed, parallelism=parallelism
         )
@@ -166,10 +174,14 @@ def fit_final(
     samples: DataFrame, key: Sequence[str], variant: Variant, root: str | None = None, *, seed: int = 1, clean: bool = True
 ) -> PipelineModel:
     """Fit on all rows; saved under ``root`` if given."""
-    rows = cut(prepare(samples, key, variant, seed=seed, clean=clean).drop("fold"))
+    rows = written(spread(prepare(samples, key, variant, seed=seed, clean=clean)))
     features = feature_columns(variant.seven_features)
-    fit = fit_regressor if variant.task == "regression" else fit_classifier
-    model = fit(rows, variant.model, features, "label", _passthrough(variant), seed)
+    if variant.model in _TOGETHER[variant.task]:
+        together = fit_folds(rows, key, variant.task, variant.model, features, _passthrough(variant), by_fold=False, seed=seed)
+        model = together.pipeline()
+    else:
+        fit = fit_regressor if variant.task == "regression" else fit_classifier
+        model = fit(rows.drop("fold"), variant.model, features, "label", _passthrough(variant), seed)
     if root is not None:
         save_model(model, root, variant)
     return model

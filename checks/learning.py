@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bedside.operators import cleaning as C, folds as D, models as L
-from bedside.plans import evaluation_runs as R
-from bedside.sources.lineage import scratch_folder
-from bedside.sources.models import Variant
+from bedside.functions import oxygen as O
+from bedside.operators import cleaning as C, evaluation as X, folds as D, models as L
+from bedside.operators.batched import spread
+from bedside.operators.fold_models import fit_folds
+from bedside.plans import evaluation_runs as R, predictions as P
+from bedside.sources.lineage import scratch_folder, written
+from bedside.sources.models import Variant, load_model
 
 from .registry import VIEWS, query
-from .samples import _ID, _KEYS, _clean
+from .samples import _ID, _KEYS, _clean, _scored
 
 _HASH = "l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber"
 _F3 = list(C.FEATURES_3)
@@ -139,33 +142,113 @@ def _(t):
     "rmse bic",
 )
 def _(t):
-    from bedside.operators.evaluation import regression_metrics
-
     scored = D.cross_validated_linear(_folded(t), _F3, "Pao2")
-    return regression_metrics(scored, ["fold"], "Pao2", "predicted", 3)
-
+    return X.regression_metrics(scored, ["fold"], "Pao2", "predicted", 3)
+
+
+# --- fitted models: SQL cannot fit them, so what it can say about them is checked ---------------
+
+VIEWS["folded7"] = f"SELECT *, CAST(({_HASH}) % 10 AS INT) AS fold FROM clean7"
+
+
+def _prepared(t, variant: Variant):
+    """Key, features, label and the fold that SQL can name."""
+    rows = _clean(t, filter_spo2=variant.filter_spo2, seven_features=variant.seven_features)
+    kind = "pao2" if variant.task == "regression" else "class4" if variant.model == "multi" else "class2"
+    labelled = C.with_label(rows, kind).select(*_ID, *C.feature_columns(variant.seven_features), "label")
+    return D.assign_folds(labelled, _ID, 10, hashed=F.expr(_HASH))
+
+
+def _better(scored, variant: Variant):
+    """Per fold: does the model beat the mean (regression), chance (two classes) or the most frequent class (four)?"""
+    if variant.task == "regression":
+        return X.regression_metrics(scored, ["fold"], "label", "predicted", 3).join(
+            scored.groupBy("fold").agg(F.stddev_pop("label").alias("spread")), "fold"
+        ).select("fold", (F.col("rmse") < F.col("spread")).alias("better"))
+    if variant.model == "multi":
+        most = scored.groupBy("fold", "label").count().groupBy("fold").agg((F.max("count") / F.sum("count")).alias("share"))
+        got = X.class_metrics(scored, ["fold"], "label", "predicted").groupBy("fold").agg(F.max("accuracy").alias("accuracy"))
+        return got.join(most, "fold").select("fold", (F.col("accuracy") > F.col("share")).alias("better"))
+    return X.roc_auc(scored, ["fold"], "label", "score").select("fold", (F.col("roc_auc") > 0.5).alias("better"))
+
+
+def _verify(t, variant: Variant, settled: float | None = None):
+    """Per fold: rows, sum of the labels, whether all rows have a prediction, and whether the model learned something."""
+    rows = written(_prepared(t, variant) if settled is None else spread(_prepared(t, variant)))
+    features, flags = C.feature_columns(variant.seven_features), ["vaso"] if variant.seven_features else []
+    if settled is None:
+        scored, closed = R.cross_validate_rows(rows, variant), {}
+    else:
+        models = fit_folds(rows, _ID, variant.task, variant.model, features, flags)
+        scored = models.predict(rows)
+        closed = {"settled": D.by_fold(dict(zip(models.scale.models, map(float, models.settled)))) < settled}
+    scored = written(scored)
+    each = scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels"), (F.count("predicted") == F.count(F.lit(1))).alias("all_scored")
+    )
+    return each.join(_better(scored, variant), "fold").select("*", *[c.alias(k) for k, c in closed.items()])
 
-def _run(t, variant: Variant, k: int = 10):
-    metrics = R.fold_metrics(R.cross_validate(t.samples, _ID, variant, k=k), variant)
-    return R.summarize(metrics)
 
+def _register(name: str, variant: Variant, settled: float | None = None) -> None:
+    label = {"regression": "Pao2", "classification": "CASE WHEN Pao2 / Fio2 <= 150 THEN 0e0 ELSE 1e0 END"}[variant.task]
+    if variant.model == "multi":
+        label = "CASE WHEN Pao2 / Fio2 > 300 THEN 3e0 WHEN Pao2 / Fio2 > 200 THEN 2e0 WHEN Pao2 / Fio2 > 100 THEN 1e0 ELSE 0e0 END"
+    table, more = "folded7" if variant.seven_features else "folded", "" if settled is None else ", true AS settled"
 
-def _register(name: str, variant: Variant, k: int = 10) -> None:
-    @query(name)
+    @query(name, f"SELECT fold, count(*) AS n, sum({label}) AS labels, true AS all_scored, true AS better{more} FROM {table} GROUP BY fold", "labels")
     def _(t):
-        return _run(t, variant, k)
+        return _verify(t, variant, settled)
 
 
-# Iterative models: metrics over their folds (no SQL can fit them; see tests for the closed forms).
+# Spark ML's estimators, a fit a fold
 _register("m7_sgd_regression", Variant("regression", "sgd"))
 _register("m8_kernel_huber", Variant("regression", "kernel_huber"))
 _register("m9_boosted_trees", Variant("regression", "gbt"))
-_register("m10_logistic", Variant("classification", "logistic"))
-_register("m11_sgd_classifier", Variant("classification", "sgd"))
 _register("m12_ridge_classifier", Variant("classification", "ridge"))
 _register("m13_kernel_svc", Variant("classification", "kernel_svc"))
 _register("m14_perceptron", Variant("classification", "mlp"))
-_register("m15_four_classes", Variant("classification", "multi"))
+# all folds together: gradients of the Newton fits, or what is left of the first held-out loss
+_register("m7_averaged_descent", Variant("regression", "descent"), 0.999)
+_register("m8_kernel_svr", Variant("regression", "svr"), 1e-5)
+_register("m9_tanh_network", Variant("regression", "network"), 0.999)
+_register("m9_tanh_network_seven", Variant("regression", "network", True), 0.1)
+_register("m10_logistic", Variant("classification", "logistic"), 1e-8)
+_register("m11_sgd_classifier", Variant("classification", "sgd"), 1e-8)
+_register("m11_averaged_descent", Variant("classification", "descent"), 0.999)
+_register("m13_support_vectors", Variant("classification", "svc"), 1e-4)
+_register("m14_tanh_network", Variant("classification", "network"), 0.999)
+_register("m14_tanh_network_seven", Variant("classification", "network", True), 0.1)
+_register("m15_four_classes", Variant("classification", "multi", True), 1e-8)
+
+
+# Four classes of the log-linear formula against the measured ones: every number that SQL can give.
+VIEWS["four"] = """
+SELECT fold, CASE WHEN pf > 300 THEN 3 WHEN pf > 200 THEN 2 WHEN pf > 100 THEN 1 ELSE 0 END AS y,
+  CASE WHEN h > 300 THEN 3 WHEN h > 200 THEN 2 WHEN h > 100 THEN 1 ELSE 0 END AS h
+FROM (SELECT fold, pf, imputed AS h FROM scored)"""
+VIEWS["of_class"] = """
+SELECT fold, class, sum(CASE WHEN y = class THEN 1 ELSE 0 END) AS support, sum(CASE WHEN h = class THEN 1 ELSE 0 END) AS found,
+  sum(CASE WHEN y = class AND h = class THEN 1 ELSE 0 END) AS hits, avg(CASE WHEN y = h THEN 1e0 ELSE 0e0 END) AS accuracy
+FROM four, (VALUES (0), (1), (2), (3)) c(class) GROUP BY fold, class"""
+
+
+def _four(t):
+    return _scored(t).select("fold", O.pf_class4("pf").alias("y"), O.pf_class4("imputed").alias("h"))
+
+
+@query("m15_confusion", "SELECT fold, y AS label, h AS predicted, count(*) AS n FROM four GROUP BY fold, y, h")
+def _(t):
+    return X.confusion_table(_four(t), ["fold"], "y", "h")
+
+
+@query(
+    "m15_class_metrics",
+    """SELECT fold, class, CAST(support AS BIGINT) AS support, hits / nullif(found, 0) AS precision, hits / nullif(support, 0) AS recall,
+      2 * hits / nullif(support + found, 0) AS f1, accuracy FROM of_class WHERE support + found > 0""",
+    "precision recall f1 accuracy",
+)
+def _(t):
+    return X.class_metrics(_four(t), ["fold"], "y", "h")
 
 
 def _fitted_sql(view: str) -> str:
@@ -179,15 +262,87 @@ def _(t):
     return L.apply_model(model, _clean(t).select(*_ID, *C.FEATURES_3)).select(*_ID, "predicted")
 
 
-@query("m17_final_fit_seven")
+VIEWS["ridge7_facts"] = "SELECT count(*) AS n, avg(Pao2) AS mean, stddev_pop(Pao2) AS spread FROM clean7"
+
+
+@query("m17_final_fit_seven", "SELECT n, mean, true AS keeps_mean, true AS better FROM ridge7_facts", "mean")
 def _(t):
+    # ridge on centred columns predicts the mean on average, and narrower than the labels
     model = R.fit_final(t.samples, _ID, Variant("regression", "ridge", seven_features=True))
-    return L.apply_model(model, _clean(t, seven_features=True).select(*_ID, *C.FEATURES_7))
+    scored = L.apply_model(model, _clean(t, seven_features=True).select(*_ID, *C.FEATURES_7, "Pao2"))
+    return scored.agg(
+        F.count("predicted").alias("n"),
+        F.avg("Pao2").alias("mean"),
+        (F.abs(F.avg("predicted") - F.avg("Pao2")) < 1e-6).alias("keeps_mean"),
+        (X.rmse(F.col("Pao2"), F.col("predicted")) < 0.5 * F.stddev_pop("Pao2")).alias("better"),
+    )
+
+
+_GRID_ROWS = " UNION ALL ".join(
+    f"SELECT {seven} AS features, {str(low).lower()} AS filtered, count(*) AS n FROM clean{seven}" + (" WHERE Spo2 < 97" if low else "")
+    for seven in (3, 7) for low in (False, True)
+)
+_GRID_MODELS = ", ".join(f"('{task}', '{model}')" for task, models in P.MODELS.items() for model in models)
+
+
+@query(
+    "m18_variant_grid",
+    f"""SELECT task, model, features, filtered, n, 10 AS folds, true AS all_scored, true AS finite,
+      CASE WHEN task = 'regression' THEN 2 WHEN model = 'multi' THEN 2 ELSE 11 END AS metrics
+    FROM (VALUES {_GRID_MODELS}) m(task, model), ({_GRID_ROWS}) g""",
+)
+def _(t):
+    """All models, both tasks, both feature sets, with and without the filter: 44 variants from one table."""
+    table = P.prediction_table(t.samples, _ID, P.all_variants())
+    rows = table.groupBy(*P.VARIANT).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("fold").cast("int").alias("folds"), (F.count("predicted") == F.count(F.lit(1))).alias("all_scored")
+    )
+    metrics = P.table_metrics(table).groupBy(*P.VARIANT).agg(
+        F.countDistinct("metric").cast("int").alias("metrics"), F.max(F.isnan(F.coalesce("value", F.lit(0.0)))).alias("odd")
+    )
+    return rows.join(metrics, P.VARIANT).select(*P.VARIANT, "n", "folds", "all_scored", (~F.col("odd")).alias("finite"), "metrics")
+
+
+_CURVES = [Variant("classification", m, True, low) for m in ("logistic", "network", "svc") for low in (False, True)]
 
 
-@query("m18_variant_grid")
+@query(
+    "m21_fitted_pr_curves",
+    """SELECT model, filtered, count(*) AS n, sum(CASE WHEN Pao2 / Fio2 <= 150 THEN 0 ELSE 1 END) AS positives, 1e0 AS least_recall_at_end, true AS starts, true AS above_share
+    FROM (VALUES ('logistic'), ('network'), ('svc')) m(model), (VALUES (true), (false)) f(filtered), clean7
+    WHERE NOT filtered OR Spo2 < 97 GROUP BY model, filtered""",
+    "least_recall_at_end",
+)
+def _(t):
+    """Precision-recall curves of three fitted models on two subsets, all read from one prediction table."""
+    table = P.prediction_table(t.samples, _ID, _CURVES)
+    curves = written(P.table_pr_curves(table))
+    ends = curves.groupBy("model", "filtered").agg(
+        F.max("recall").alias("least_recall_at_end"),
+        F.bool_or(F.expr("threshold IS NULL AND precision = 1 AND recall = 0")).alias("starts"),
+        F.min(F.when(F.col("recall") > 0, F.col("precision"))).alias("lowest"),
+    )
+    rows = table.groupBy("model", "filtered").agg(F.count("score").alias("n"), F.sum("label").cast("long").alias("positives"))
+    return rows.join(ends, ["model", "filtered"]).select(
+        "model", "filtered", "n", "positives", "least_recall_at_end", "starts",
+        (F.col("lowest") >= F.col("positives") / F.col("n") * 0.9).alias("above_share"),
+    )
+
+
+@query(
+    "m21_fitted_agreement",
+    """SELECT model, filtered, count(*) AS n, true AS centred, true AS ordered
+    FROM (VALUES ('linear'), ('network')) m(model), (VALUES (true), (false)) f(filtered), clean7
+    WHERE (NOT filtered OR Spo2 < 97) AND Pao2 / Fio2 <= 400 GROUP BY model, filtered""",
+)
 def _(t):
-    return R.summarize(R.run_grid(t.samples, _ID, "regression", ["linear", "ridge", "sgd"]))
+    """Agreement of measured P/F ratios with those of fitted models (all P/F ratios up to 400)."""
+    variants = [Variant("regression", m, True, low) for m in ("linear", "network") for low in (False, True)]
+    table = P.table_agreement(P.prediction_table(t.samples, _ID, variants), ["linear", "network"])
+    return table.select(
+        "model", "filtered", "n", (F.abs("mean_diff") < F.col("sd_diff")).alias("centred"),
+        ((F.col("lower") < F.col("mean_diff")) & (F.col("mean_diff") < F.col("upper"))).alias("ordered"),
+    )
 
 
 @query(
@@ -204,9 +359,41 @@ def _(t):
     return R.score(_clean(t).select(*_ID, *C.FEATURES_3), root, variant)
 
 
-@query("s6_saved_classifier")
+def _facts(scored):
+    """Of predictions of a saved model and of the model before it was saved, on the same rows."""
+    return scored.agg(
+        F.count("predicted").alias("n"),
+        (F.max(F.abs(F.col("score") - F.col("before"))) < 1e-12).alias("same_scores"),
+        F.min((F.col("predicted") == (F.col("score") > 0.5).cast("double"))).alias("same_classes"),
+    )
+
+
+def _saved(t, model: str):
+    root = scratch_folder(t.spark)
+    variant = Variant("classification", model, seven_features=True)
+    fitted = R.fit_final(t.samples, _ID, variant, root)
+    rows = L.apply_model(fitted, _clean(t, seven_features=True).select(*_ID, *C.FEATURES_7)).withColumnRenamed("score", "before")
+    return R.score(rows.drop("predicted"), root, variant)
+
+
+@query("s6_saved_classifier", "SELECT count(*) AS n, true AS same_scores, true AS same_classes FROM clean7")
+def _(t):
+    return _facts(_saved(t, "logistic"))
+
+
+@query("s6_saved_network", "SELECT count(*) AS n, true AS same_scores, true AS same_classes FROM clean7")
+def _(t):
+    return _facts(_saved(t, "network"))
+
+
+@query("s7_scalers_round_trip", f"SELECT {_KEYS}, (Spo2 - m1) / s1 AS z_0, (Fio2 - m2) / s2 AS z_1, (Peep - m3) / s3 AS z_2, Pao2 AS back FROM clean3, (SELECT avg(Spo2) AS m1, stddev_pop(Spo2) AS s1, avg(Fio2) AS m2, stddev_pop(Fio2) AS s2, avg(Peep) AS m3, stddev_pop(Peep) AS s3 FROM clean3)", "z_0 z_1 z_2 back")
 def _(t):
+    """Scalers are saved inside the model: its first stage, loaded again, scales raw features; label moments scale there and back."""
     root = scratch_folder(t.spark)
-    variant = Variant("classification", "logistic", seven_features=True)
+    variant = Variant("regression", "network")
     R.fit_final(t.samples, _ID, variant, root)
-    return R.score(_clean(t, seven_features=True).select(*_ID, *C.FEATURES_7), root, variant)
+    rows = _clean(t)
+    m, _ = D.fold_moments(rows.withColumn("fold", F.lit(0)), ["Pao2"])
+    scaled = load_model(root, variant).stages[0].transform(rows.select(*_ID, *C.FEATURES_3, "Pao2"))
+    back = D.zscore_exprs(m, ["Pao2"])["Pao2"] * m.spread("Pao2") + m.center("Pao2")
+    return scaled.select(*_ID, F.col("__z_0").alias("z_0"), F.col("__z_1").alias("z_1"), F.col("__z_2").alias("z_2"), back.alias("back"))
