@@ -20,14 +20,18 @@ _BITS = 15  # a bitmap of Spark's bitmap functions has 2^15 bits
 _COUNTERS = ["c1", "c2"]  # the counters that a text raises
 
 
-def failures(text: Column) -> dict[str, Column]:
-    """Filters that look at one text only, by letter; null is empty."""
-    plain = F.trim(F.translate(text, "\t\n\x0b\x0c\r", " " * 5))
-    words, size = F.split(plain, " +"), F.length(text).cast("long")
-    n = F.when(plain != "", F.size(words)).otherwise(0).cast("long")
-    distinct = F.when(plain != "", F.size(F.array_distinct(words))).otherwise(0).cast("long")
-    capitals = size - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    return {"A": n < 100, "B": 100 * distinct < 80 * n, "C": 100 * capitals > 10 * size, "D": text.rlike(r"[#$%&*|]")}
+def with_failures(rows: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` with the words of ``text`` as ``_words``, and the filters that look at one text only, by letter."""
+    # a blank at the start or the end leaves an empty word there, and nowhere else
+    rows = rows.withColumn("_words", F.split(text, r"[\x20\x09-\x0D]+"))
+    words, body = F.col("_words"), F.col(text)
+    first, last = F.element_at("_words", 1) == "", F.element_at("_words", -1) == ""
+    one = F.size(words) == 1
+    n = F.size(words).cast("long") - first.cast("long") - (last & ~one).cast("long")
+    distinct = F.size(F.array_distinct(words)).cast("long") - (first | last).cast("long")
+    size, capitals = F.length(body).cast("long"), F.length(F.regexp_replace(body, "[^A-Z]+", "")).cast("long")
+    fails = {"A": n < 100, "B": 100 * distinct < 80 * n, "C": 100 * capitals > 10 * size, "D": body.rlike(r"[#$%&*|]")}
+    return rows, fails
 
 
 def _bit(letter: str) -> int:
@@ -75,8 +79,9 @@ def failure_masks(
     source = docs.select(
         F.col(doc_id).alias("id"), F.coalesce(F.col(part), F.lit("")).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("body")
     )
-    mask = sum((F.when(fails, _bit(k)).otherwise(0) for k, fails in failures(F.col("body")).items()), F.lit(0))
-    flags = written(source.select("id", "part", mask.alias("mask"), *_hashes(width)))
+    split, own = with_failures(source, "body")
+    mask = sum((F.when(fails, _bit(k)).otherwise(0) for k, fails in own.items()), F.lit(0))
+    flags = written(split.select("id", "part", mask.alias("mask"), *_hashes(width)))
     bitmaps = written(repeated_counters(flags))
     texts = with_possible(source.where("id IS NOT NULL").select("id", "body", *_hashes(width)), bitmaps)
     # The whole text is the key; copies of a task meet before the exchange.
