@@ -74,8 +74,19 @@ def test_pieces_match_the_model_and_come_back(spark, sf_dir, stored):
 
 def test_streaming_commits_what_the_whole_path_has(vocabulary):
     encoder = pieces.Encoder(vocabulary)
-    text = "thequickbrown" * 40 + "aaaaaaaaaaaaaaa" * 30
-    assert list(encoder.path(text)) == encoder._short_path(text)
+    for text in ("thequickbrown" * 40 + "aaaaaaaaaaaaaaa" * 30, "x" * 1000, "\u0e01\U0001f600ab" * 100, "internationalization" * 99):
+        assert len(text) > 3 * pieces._WINDOWS * encoder._longest
+        ids = [i for p in encoder.path(text) for i in encoder._ids_of(p)]
+        assert ids == list(encoder._side_by_side([text, "z", text])[2])
+
+
+def test_few_kept_pairs_and_stretches_give_the_same_ids(vocabulary, stored, monkeypatch):
+    bodies = [r.text for r in stored if r.text][:60]
+    want = [i.tolist() for i in pieces.Encoder(vocabulary).encode_all(bodies)]
+    monkeypatch.setattr(pieces, "PAIR_SLOTS", 16)
+    monkeypatch.setattr(pieces, "KEPT_STRETCHES", 10)
+    small = pieces.Encoder(vocabulary)
+    assert [small.encode(t).tolist() for t in bodies] == want
 
 
 def test_fingerprints_of_edited_texts(spark, sf_dir, stored):
