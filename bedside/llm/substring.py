@@ -74,10 +74,10 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments of repeated anchors, with their words; equal ones of one task only once, the others are settled here.
+def _send(batches: Iterator[pd.DataFrame], remembered: int) -> Iterator[pd.DataFrame]:
+    """Segments of repeated anchors, with their words; later ones that equal a remembered one are settled here.
 
-    Rows come by ascending id, so the first of equal segments is the least.
+    One that comes earlier than the remembered one is sent too and takes its place: both meet again in the search.
     """
     seen: dict[bytes, tuple[int, int, int]] = {}
     for batch in batches:
@@ -97,8 +97,8 @@ def _send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     known = seen.get(name)
                     if known is not None and known < (*doc, start):
                         rows.append((0, None, *doc, start, k))
-                    elif known is None:
-                        if len(seen) >= REMEMBERED:
+                    elif known is None or (*doc, start) < known:
+                        if known is None and len(seen) >= remembered:
                             seen.clear()
                         seen[name] = (*doc, start)
                         key = int.from_bytes(name[:8], "little", signed=True) if hot[s] else a
@@ -106,7 +106,7 @@ def _send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "body", "id", "version", "start", "n"])
 
 
-def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _search(batches: Iterator[pd.DataFrame], index_words: int) -> Iterator[pd.DataFrame]:
     """Windows that occur earlier, from rows sorted by (key, body, id, version, start)."""
     entries: list[tuple] = []  # different segments of shared anchors, for the next index
     size = 0
@@ -126,7 +126,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(group) > 1:
                     entries += group
                     size += sum(g[4] + WINDOW for g in group)
-                    if size > INDEX_WORDS:
+                    if size > index_words:
                         done += _indexed(entries)
                         entries, size = [], 0
                 group = []
@@ -176,8 +176,20 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "version", "n_removed", "kept_text"])
 
 
-def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, survey, marks): the prepared rows, one row a text with its counts, and repeated runs of windows by (id, version)."""
+def repeated_windows(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, remembered: int = REMEMBERED, index_words: int = INDEX_WORDS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, survey, marks): the prepared rows, one row a text with its counts, and repeated runs of windows by (id, version).
+
+    ``hot``, ``remembered`` and ``index_words`` bound what a task holds; the result does not depend on them.
+    """
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _send(batches, remembered)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _search(batches, index_words)
+
     rows = docs.select(
         F.col(doc_id).isNull().alias("no_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(text, F.lit("")).alias("body")
     )
@@ -194,29 +206,29 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         places.join(often, "anchor")
         .groupBy("id", "version")
         .agg(
-            F.collect_set(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("cold"),
-            F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"),
+            F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("cold"),
+            F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"),
         )
     )
-    sent = rows.select("id", "body").join(wanted, "id").sortWithinPartitions("id").mapInPandas(
-        _send, "key long, body binary, id long, version long, start long, n long"
+    sent = rows.select("id", "body").join(wanted, "id").sortWithinPartitions("id", "version").mapInPandas(
+        send, "key long, body binary, id long, version long, start long, n long"
     )
     dealt = sent.repartition(F.when(F.col("body").isNull(), F.xxhash64("id", "start")).otherwise(F.col("key")))
     marks = dealt.sortWithinPartitions("key", "body", "id", "version", "start").mapInPandas(
-        _search, "id long, version long, start long, n long"
+        search, "id long, version long, start long, n long"
     )
     return rows, survey, marks
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256) for every row of ``docs``.
 
     A word is removed if a window that covers it also starts earlier: in a smaller id, or further left in the same
     text. ``kept_text`` joins the kept words by blanks; it is null where nothing was removed (the hash is always
-    given). Null texts have no words. Null ids come before all others; different texts of one id follow each other by a
+    given). Null texts have no words. ``bounds`` are those of ``repeated_windows``. Null ids come before all others; different texts of one id follow each other by a
     hash, equal rows are one document.
     """
-    rows, survey, marks = repeated_windows(docs, doc_id=doc_id, text=text)
+    rows, survey, marks = repeated_windows(docs, doc_id=doc_id, text=text, **bounds)
     gathered = marks.groupBy("id").agg(F.collect_list(F.struct("version", "start", "n")).alias("marks"))
     cut = rows.select("id", "body").join(gathered, "id").mapInPandas(_apply, "id long, version long, n_removed long, kept_text string")
     first = survey.groupBy("digest").agg(F.min("id").alias("first_id"))
