@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import ngrams, words
 
@@ -35,16 +35,18 @@ def sample_ids(rows: DataFrame, doc_id: str, bound: int) -> DataFrame:
 
 
 def fit_language_model(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = 10_000, smoothing: float = 0.2
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 2500, smoothing: float = 0.2
 ) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities (buckets x languages), from at most ``sample_rows`` labelled rows.
+    """Languages and their log-probabilities (buckets x languages), from the rows of at most ``per_language`` ids of each language.
 
     ``docs`` holds only rows that may be learned from. The sampled rows are counted in Spark tasks; the driver
     gets one sum per language and bucket. Without labelled rows there are no languages.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen = F.broadcast(sample_ids(rows, doc_id, sample_rows))  # at most sample_rows ids
-    rows = rows.join(chosen, doc_id, "left_semi").select(text, lang)
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
+    ids = rows.select(lang, doc_id).distinct().withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_language)
+    chosen = F.broadcast(ids.select(lang, doc_id))  # per_language ids a language
+    rows = rows.join(chosen, [lang, doc_id], "left_semi").select(text, lang)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -70,7 +72,7 @@ def fit_language_model(
 
 
 def mixture(
-    likelihood: np.ndarray, scale: np.ndarray, count: np.ndarray, first: np.ndarray, *, penalty: float, steps: tuple[int, int], widest: int
+    likelihood: np.ndarray, scale: np.ndarray, count: np.ndarray, first: np.ndarray, *, penalty: float, steps: tuple[int, int]
 ) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (documents x languages) of the chosen language sets.
 
@@ -84,16 +86,15 @@ def mixture(
     theta = np.full((docs, k), 1.0 / k)
     best, kept = np.full(docs, -np.inf), theta
     for size in range(k, 0, -1):
-        if size <= widest or size == k:
-            for _ in range(steps[0] if size == k else steps[1]) if size > 1 else ():
-                joint = theta[owner] * likelihood
-                joint *= (count / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
-                theta = np.add.reduceat(joint, first, axis=0) / n[:, None]
-            fit = base + np.add.reduceat(count * np.log(np.maximum((theta[owner] * likelihood).sum(axis=1), 1e-300)), first)
-            score = fit - penalty * (size - 1) * np.log1p(n)
-            better = score > best
-            best = np.where(better, score, best)
-            kept = np.where(better[:, None], theta, kept)
+        for _ in range(steps[0] if size == k else steps[1]) if size > 1 else ():
+            joint = theta[owner] * likelihood
+            joint *= (count / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
+            theta = np.add.reduceat(joint, first, axis=0) / n[:, None]
+        fit = base + np.add.reduceat(count * np.log(np.maximum((theta[owner] * likelihood).sum(axis=1), 1e-300)), first)
+        score = fit - penalty * (size - 1) * np.log1p(n)
+        better = score > best
+        best = np.where(better, score, best)
+        kept = np.where(better[:, None], theta, kept)
         # the least proportion goes; languages that went already are at zero and stay out
         least = np.where(theta > 0, theta, np.inf).argmin(axis=1)
         theta = theta.copy()
@@ -107,7 +108,7 @@ def mixture(
 
 
 def identify_languages(
-    docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text", penalty: float = 3.0, steps: tuple[int, int] = (8, 4), widest: int = 6
+    docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text", penalty: float = 3.0, steps: tuple[int, int] = (8, 4)
 ) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (its proportion) and ``lang_set`` (``lang:proportion``, largest first).
 
@@ -123,14 +124,14 @@ def identify_languages(
         known = ngrams.WordValues(sent.value, SIZES)
         for batch in batches:
             for part in words.slices(batch, text):
-                found = _identify([t or "" for t in part.column(text).to_pylist()], known, langs, penalty, steps, widest)
+                found = _identify([t or "" for t in part.column(text).to_pylist()], known, langs, penalty, steps)
                 told = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*map(part.column, rest), *told], [*rest, "lang_pred", "score", "lang_set"])
 
     return docs.select(*rest).mapInArrow(run, schema)
 
 
-def _identify(texts: list[str], known: ngrams.WordValues, langs: list[str], penalty, steps, widest) -> list[tuple[str, float, str]]:
+def _identify(texts: list[str], known: ngrams.WordValues, langs: list[str], penalty, steps) -> list[tuple[str, float, str]]:
     tokens, lengths = [], []
     for t in texts:
         own = _WORD.findall(t.lower()) if any(map(str.isalpha, t)) else []
@@ -147,7 +148,7 @@ def _identify(texts: list[str], known: ngrams.WordValues, langs: list[str], pena
     log = known.values[number[at]].astype(np.float64) * sizes[at, None]
     top = log.max(axis=1)
     doc, first = np.unique(key // width, return_index=True)
-    theta, _ = mixture(np.exp(log - top[:, None]), top, count.astype(float), first, penalty=penalty, steps=steps, widest=widest)
+    theta, _ = mixture(np.exp(log - top[:, None]), top, count.astype(float), first, penalty=penalty, steps=steps)
     for d, share in zip(doc, theta):
         order = sorted((k for k in range(len(langs)) if share[k] > 0.005), key=lambda k: (-share[k], k))
         out[d] = (langs[order[0]], float(min(1.0, share[order[0]])), ",".join(f"{langs[k]}:{share[k]:.3f}" for k in order))
