@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bedside.functions import oxygen as O
 from bedside.functions.columns import linspace, round_half_even
-from bedside.operators import cleaning as C, evaluation as X, stats as S
+from bedside.operators import cleaning as C, evaluation as X, score_sketch as K, stats as S
 from bedside.plans import baselines as B
 from bedside.sources.lineage import scratch_folder
 from bedside.sources.tables import SAMPLE_SCHEMA, read_samples
@@ -334,6 +334,30 @@ SELECT fold, count(*) FILTER (label = 0 AND predicted = 0) AS tn, count(*) FILTE
 FROM scored GROUP BY fold"""
 
 
+VIEWS["exact_auc"] = """
+SELECT fold, sum(n0 * (tps - n1 / 2)) / (max(p) * max(n)) AS auc, sum(n1 * tps / (tps + fps)) / max(p) AS ap, max(p) AS positives, max(n) AS negatives FROM steps GROUP BY fold"""
+
+
+@query(
+    "a23_auc_sketch",
+    "SELECT fold, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, auc, ap, true AS auc_within, true AS ap_within, true AS few_rows FROM exact_auc",
+    "auc ap",
+)
+def _(t):
+    """Exact areas beside those of a sketch of 64 bins, and whether these are as near as the sketch says."""
+    scored = _scored(t)
+    edges = K.score_edges(scored, "score", 64)
+    sketch = K.score_sketch(scored, ["fold"], "label", "score", edges)
+    exact = X.ranking_metrics(scored, ["fold"], "label", "score").withColumnsRenamed({"roc_auc": "auc", "average_precision": "ap"})
+    both = K.sketch_metrics(sketch, ["fold"]).join(exact, "fold").join(sketch.groupBy("fold").count(), "fold")
+    return both.select(
+        "fold", "positives", "negatives", "auc", "ap",
+        (F.abs(F.col("auc") - F.col("roc_auc")) <= F.col("roc_auc_error") + 1e-12).alias("auc_within"),
+        (F.abs(F.col("ap") - F.col("average_precision")) <= F.col("average_precision_error") + 1e-12).alias("ap_within"),
+        (F.col("count") <= 64).alias("few_rows"),
+    )
+
+
 @query("a21_confusion", "SELECT * FROM cm")
 def _(t):
     return X.confusion(_scored(t), ["fold"], "label", "predicted")
