@@ -205,8 +205,8 @@ def repair_turns(
     ``inserted_after`` (the same after a conversation's last turn), ``place`` (from 0 within the conversation) and ``rendered``.
 
     One row a turn; the ``rendered`` of a conversation's turns, joined in the order of ``place``, are the formatted
-    conversation. Turns are ordered by ``turn`` (null first), those of one number by role and text; repeated rows are
-    turns of their own. Rows whose conversation is null are one conversation. An unknown or null role may become any
+    conversation. Turns are ordered by ``turn`` (null first), those of one number by role (system, user, assistant, others) and then
+    by a hash of role and text; repeated rows are turns of their own. Rows whose conversation is null are one conversation. An unknown or null role may become any
     role. A null text is empty. Columns of these names are replaced, others stay. Markers within a text are broken by a
     backslash, so that they do not act as markers. A conversation of one system turn gets an empty user and assistant turn.
     """

@@ -47,7 +47,7 @@ def length_code(n: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: list[bytes]) -> list[str]:
-    """Hex of the length code and the quartile codes. Texts of fewer than four bytes have codes of zero and a hash of their bytes behind."""
+    """Hex of the length code and the quartile codes. Texts of fewer than four bytes have no triplets: their codes are zero, and those of one length are alike."""
     c = counts(texts)
     ordered = np.sort(c, axis=1)
     codes = np.zeros(c.shape, dtype=np.uint8)

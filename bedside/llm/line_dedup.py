@@ -26,7 +26,7 @@ def boilerplate_lines(
 ) -> DataFrame:
     """(host, line_hash): lines on more than ``ratio`` of a host's pages and on at least ``least_pages`` of them.
 
-    A page counts a line once, however often it repeats it. Blank lines are never boilerplate; a null host is a host
+    Every row is a page, a repeated row another one. A page counts a line once, however often it repeats it. Blank lines are never boilerplate; a null host is a host
     of its own; null texts count as pages without lines. Lines are counted by a 64-bit hash and summed before
     the shuffle, so a host or a line with most of the rows costs one row a task.
     """

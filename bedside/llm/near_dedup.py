@@ -220,6 +220,6 @@ def _close_pairs(nodes: DataFrame, bodies: DataFrame, shingle: int, percent: int
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the near duplicates: of each component the document with the least id stays."""
+    """``docs`` without the near duplicates: of each component the document with the least id stays, with all rows of that id."""
     found = near_duplicates(docs, doc_id=doc_id, **options).where("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(found, doc_id, "left_anti").select(*docs.columns)

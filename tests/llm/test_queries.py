@@ -166,9 +166,9 @@ def test_toxicity_of_held_out_texts(spark, sf_dir):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = found(spark, sf_dir, "op1_toxicity")
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
-    bad = [r.score for i, r in got.items() if labels.get(i) == 1]
-    good = [r.score for i, r in got.items() if labels.get(i) == 0]
-    assert sum(b > g for b in bad for g in good) >= 0.85 * len(bad) * len(good)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    bad, good = ([r.score for i, r in got.items() if r.held_out and labels.get(i) == v] for v in (1, 0))
+    assert bad and sum(b > g for b in bad for g in good) >= 0.85 * len(bad) * len(good)
 
 
 def test_chat_query_keeps_every_turn(spark, sf_dir):
