@@ -59,3 +59,12 @@ def remove(df: DataFrame) -> None:
     for name in names:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top + name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this session has cut or written to its scratch folder; results that still read from it are lost."""
+    top = spark.sparkContext.getCheckpointDir()
+    if top is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)

@@ -51,7 +51,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-# The mixture of the first stage and the piece lattice of the last have no SQL; tests compare with a brute-force version.
+# The mixture of the first stage and the piece lattice of the last have no SQL: tests compare the stages with plain versions,
+# the languages with a plain mixture (tests/llm/test_language.py) and the ids with the model's own.
 ORACLE_SQL = None
 
 

@@ -11,11 +11,6 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# Iterative fits: tests/test_models.py checks what they learn.
-SLOW = {
-    "m8_kernel_huber", "m9_boosted_trees", "m10_logistic", "m11_sgd_classifier", "m13_kernel_svc",
-    "m14_perceptron", "m15_four_classes", "m18_variant_grid",
-}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +32,7 @@ def test_matches_oracle(spark, sf_dir, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_oracle(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

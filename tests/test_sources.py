@@ -72,3 +72,25 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     )
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_scratch_is_removed_table_by_table_and_at_once(spark):
+    import os
+
+    from bedside.sources import lineage
+
+    folder = lineage.scratch_folder(spark).rsplit("/", 1)[0].removeprefix("file:")
+    # a folder of its own, so that other tests' tables stay
+    place = f"{folder}/of_this_test"
+    spark.sparkContext.setCheckpointDir(place)
+    try:
+        root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        one = lineage.written(spark.range(5).selectExpr("id", "id % 2 AS part"), partition_by=["part"])
+        two = lineage.written(spark.range(3))
+        assert one.where("part = 1").count() == 2 and two.count() == 3 and len(os.listdir(root)) == 2
+        lineage.remove(one)
+        assert len(os.listdir(root)) == 1 and two.count() == 3
+        lineage.release(spark)
+        assert os.listdir(root) == []
+    finally:
+        spark.sparkContext.setCheckpointDir(folder.rsplit("/", 1)[0])
