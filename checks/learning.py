@@ -160,11 +160,13 @@ def _prepared(t, variant: Variant):
 
 
 def _better(scored, variant: Variant):
-    """Per fold: does the model beat the mean (regression), chance (two classes) or the most frequent class (four)?"""
+    """Per fold: does the model explain most of the spread, or as much as a line does (regression); does it beat chance
+    (two classes) or the most frequent class (four)?"""
     if variant.task == "regression":
-        return X.regression_metrics(scored, ["fold"], "label", "predicted", 3).join(
-            scored.groupBy("fold").agg(F.stddev_pop("label").alias("spread")), "fold"
-        ).select("fold", (F.col("rmse") < F.col("spread")).alias("better"))
+        linear = D.cross_validated_linear(scored, C.feature_columns(variant.seven_features), "label", name="line")
+        error, width = X.rmse(F.col("label"), F.col("predicted")), F.stddev_pop("label")
+        explains = (error < 0.5 * width) | (error <= 1.02 * X.rmse(F.col("label"), F.col("line")))
+        return linear.groupBy("fold").agg(explains.alias("better"))
     if variant.model == "multi":
         most = scored.groupBy("fold", "label").count().groupBy("fold").agg((F.max("count") / F.sum("count")).alias("share"))
         got = X.class_metrics(scored, ["fold"], "label", "predicted").groupBy("fold").agg(F.max("accuracy").alias("accuracy"))
