@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.temporal import hours_between, interval
 from ..sources.lineage import cut
-from .running import choose_slices, position, previous, running, total
+from .running import choose_slices, position, previous, running, total, written_once
 
 
 def sessionize(
@@ -67,7 +67,7 @@ def _number_episodes(
     relevant = (F.col(vent) == 1) | (F.col(extubated) == 1)
     ties = [vent, oxygen, extubated]
     # Grouping and set union stand behind this table: written once for the count and the windows.
-    rows = cut(settings.select(*columns))
+    rows = written_once(settings.select(*columns), hot_rows)
     slices = choose_slices(rows, [by], ts, hot_rows)
     seen = running(
         rows,

@@ -10,7 +10,7 @@ from ..functions.temporal import hours_between
 from .events import swap_if, union_distinct
 from .intervals import merge_with_plan, span_by
 from ..sources.lineage import cut
-from .running import choose_slices, fill, is_last, position, previous, running, total
+from .running import choose_slices, fill, is_last, position, previous, running, total, written_once
 
 _BY = ["icustay_id", "itemid"]
 
@@ -44,7 +44,7 @@ def mark_infusions(rates: DataFrame, hot_rows: int | None = None) -> DataFrame:
     the timeline gives everything the start rule compares.
     """
     rate, rest = F.col("vaso_rate"), ["vaso_stopped", "vaso_rate", "vaso_null"]
-    rows = cut(rates.select(*_BY, "charttime", *rest))
+    rows = written_once(rates.select(*_BY, "charttime", *rest), hot_rows)
     slices = choose_slices(rows, _BY, "charttime", hot_rows)
     seen = running(
         rows,

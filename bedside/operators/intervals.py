@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.temporal import capped_end, time_slice
-from ..sources.lineage import cut
-from .running import choose_slices, highest_before, highest_up_to, lowest_from, running
+from .running import choose_slices, highest_before, highest_up_to, lowest_from, running, written_once
 
 
 def events_in_interval(
@@ -20,26 +19,24 @@ def events_in_interval(
     end: str = "endtime",
     cap: str | None = None,
     *,
-    slice_seconds: int = 86_400,
+    slice_seconds: int | None = 86_400,
 ) -> DataFrame:
     """Inner join of events with the intervals of the same ``on`` keys that contain them, bounds included.
 
     ``cap`` cuts each interval to its first part. Intervals are repeated for the time slices they
     touch (two for a one-day cap) and the join is an equi-join on keys and slice, so a key with very
-    many events is spread over its slices and no event meets an interval from another time.
+    many events is spread over its slices and no event meets an interval from another time. With
+    ``slice_seconds=None`` the keys alone are joined: for keys with few intervals and events that lie
+    by these keys already, which then stay where they are.
     """
     piece = "__slice"
-    spread = (
-        intervals.withColumn("__until", capped_end(start, end, cap))
-        .where(F.col(start) <= F.col("__until"))
-        .withColumn(
-            piece,
-            F.explode(
-                F.sequence(time_slice(start, slice_seconds), time_slice("__until", slice_seconds))
-            ),
-        )
-    )
-    hits = events.withColumn(piece, time_slice(ts, slice_seconds)).join(spread, [*on, piece])
+    spread = intervals.withColumn("__until", capped_end(start, end, cap)).where(F.col(start) <= F.col("__until"))
+    if slice_seconds is None:
+        hits = events.join(spread, list(on))
+    else:
+        slices = F.sequence(time_slice(start, slice_seconds), time_slice("__until", slice_seconds))
+        spread = spread.withColumn(piece, F.explode(slices))
+        hits = events.withColumn(piece, time_slice(ts, slice_seconds)).join(spread, [*on, piece])
     kept = [c for c in intervals.columns if c not in on]
     return hits.where(F.col(ts).between(F.col(start), F.col("__until"))).select(*events.columns, *kept)
 
@@ -113,12 +110,15 @@ def merge_with_plan(
     usable = df.where(_all_not_null(by))
     reach = F.when(F.col(start) <= F.col(end), F.col(end))
     none = F.lit(None).cast(dict(df.dtypes)[end])
-    opening = usable.where(F.col(start).isNotNull()).select(*by, F.col(start).alias("at"), reach.alias("reach"), F.lit(1).alias("opens"), F.lit(0).alias("closes"))
-    closing = usable.where(F.col(end).isNotNull()).select(*by, F.col(end).alias("at"), none.alias("reach"), F.lit(0).alias("opens"), F.lit(1).alias("closes"))
-    bounds = cut(
-        opening.union(closing)
+    opening = F.struct(F.col(start).alias("at"), reach.alias("reach"), F.lit(1).alias("opens"), F.lit(0).alias("closes"))
+    closing = F.struct(F.col(end).alias("at"), none.alias("reach"), F.lit(0).alias("opens"), F.lit(1).alias("closes"))
+    # Both bounds of a row in one pass: what stands behind ``df`` is computed once, and rows stay where they are.
+    bounds = written_once(
+        usable.select(*by, F.inline(F.array(opening, closing)))
+        .where(F.col("at").isNotNull())
         .groupBy(*by, "at")
-        .agg(F.max("reach").alias("reach"), F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+        .agg(F.max("reach").alias("reach"), F.max("opens").alias("opens"), F.max("closes").alias("closes")),
+        hot_rows,
     )
     slices = choose_slices(bounds, by, "at", hot_rows)
     covered = running(

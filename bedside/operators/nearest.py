@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.temporal import MICROS_PER_MINUTE, gap_minutes
 from .events import filter_by_category
 from .intervals import events_in_interval
 from ..sources.lineage import cut
-from .running import choose_slices, highest_up_to, lowest_from, running
+from .running import choose_slices, highest_up_to, lowest_from, running, written_once
 
 
-def argmin_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def argmin_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], in_place: bool = False) -> DataFrame:
     """All rows that attain the smallest ``order`` tuple of their group; NULL keys or values never do.
 
     The minimum is taken before the exchange and joined back by keys and values. A group with most of the rows, even
     one whose rows all tie, is one row on the one side of that join, so AQE can split the other.
+    ``in_place`` takes the minimum in a window instead, for groups of bounded size whose rows lie together already.
     """
     usable = df
     for name in [*by, *order]:
         usable = usable.where(F.col(name).isNotNull())
+    if in_place:
+        tagged = usable.withColumns({"__own": F.struct(*order), "__least": F.min(F.struct(*order)).over(Window.partitionBy(*by))})
+        return tagged.where(F.col("__own") == F.col("__least")).select(*df.columns)
     least = usable.groupBy(*by).agg(F.min(F.struct(*order)).alias("__least"))
     least = least.select(*by, *[F.col("__least")[o].alias(o) for o in order])
     return usable.join(least, [*by, *order], "left_semi").select(*df.columns)
@@ -55,11 +59,12 @@ def nearest_match(
     for key in [*by, right_ts]:
         right = right.where(F.col(key).isNotNull())
 
-    points = cut(
+    points = written_once(
         left.select(*by, F.col(left_ts).alias("at"), F.lit(1).alias("is_left"), F.lit(0).alias("is_right"))
         .union(right.select(*by, F.col(right_ts), F.lit(0), F.lit(1)))
         .groupBy(*by, "at")
-        .agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
+        .agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right")),
+        hot_rows,
     )
     right_at = F.when(F.col("is_right") == 1, F.col("at")).cast(ends)
     near = running(
@@ -108,13 +113,16 @@ def index_samples(
     cap: str = "1 day",
     max_gap: int = 30,
     hot_rows: int | None = None,
+    in_place: bool = False,
 ) -> DataFrame:
     """Per stay the earliest measurement that is closest to a lab, both in the first part of the episode.
 
     Labs carry no stay, so they are matched on the patient: a lab counts for every stay whose window
     contains it. The pick comes before the check of value and distance; a stay whose pick fails has
-    no sample.
+    no sample. ``in_place`` is for tables stored by stay and patient: the measurements and labs are not moved,
+    only what lies in the episodes' first part is.
     """
+    slicing = {"slice_seconds": None} if in_place else {}
     windows = episodes.select("icustay_id", "starttime", "endtime", "duration_hours", "ventnum")
     # Both sides are small parts of the base tables and are read several times below.
     measured = cut(events_in_interval(
@@ -123,6 +131,7 @@ def index_samples(
         ["icustay_id"],
         "charttime",
         cap=cap,
+        **slicing,
     ))
     stays = measured.select("subject_id", "icustay_id", "starttime", "endtime").distinct()
     lab_rows = cut(events_in_interval(
@@ -137,6 +146,7 @@ def index_samples(
         ["subject_id"],
         "labtime",
         cap=cap,
+        **slicing,
     ).drop("starttime", "endtime"))
     picked = nearest_match(
         measured,
@@ -161,17 +171,20 @@ def nearest_covariates(
     first_only: bool,
     keep: Column | Mapping[str, Column],
     default: Column | None = None,
+    in_place: bool = False,
 ) -> DataFrame:
     """Per group and category the rows closest to the index time, within the index row's interval.
 
     ``events`` has ``category`` and ``charttime``; ``index`` one row per key with ``pick``,
     ``starttime`` and ``endtime``. ``first_only`` resolves ties by the earliest time. ``keep`` is
     applied to what was picked: one condition, or one per category with ``default`` for the others.
+    ``in_place`` leaves events where they lie, for groups of bounded size that are stored by ``on``.
     """
-    around = events_in_interval(events, index.distinct(), on, "charttime")
+    slicing = {"slice_seconds": None} if in_place else {}
+    around = events_in_interval(events, index.distinct(), on, "charttime", **slicing)
     gaps = around.withColumn("min_time_diff", gap_minutes("charttime", pick))
     order = ["min_time_diff", "charttime"] if first_only else ["min_time_diff"]
-    best = argmin_rows(gaps, [*by, "category"], order)
+    best = argmin_rows(gaps, [*by, "category"], order, in_place)
     if isinstance(keep, Mapping):
         kept = filter_by_category(best, "category", keep, default)
     else:

@@ -30,6 +30,9 @@ from ..sources.lineage import cut
 # More rows of one entity than this are not left to one task.
 HOT_ROWS = 5_000_000
 
+# As ``hot_rows``: groups are known to be of bounded size, so nothing is counted and timelines stay whole.
+UNBOUNDED = float("inf")
+
 # Slice widths to choose from, coarsest first: a day, an hour, a minute, a second.
 SLICE_SECONDS = (86_400, 3_600, 60, 1)
 
@@ -171,11 +174,16 @@ def is_last() -> State:
     )
 
 
+def written_once(df: DataFrame, hot_rows: float | None) -> DataFrame:
+    """``df`` for ``choose_slices`` and the windows after it: cut, as both read it, unless nothing is counted."""
+    return df if hot_rows == UNBOUNDED else cut(df)
+
+
 def choose_slices(
     df: DataFrame,
     by: Sequence[str],
     order: str,
-    hot_rows: int | None = None,
+    hot_rows: float | None = None,
     candidates: Iterable[Column] | None = None,
 ) -> Column | None:
     """How to number the slices of a timeline, or None if every group fits into one task.
@@ -185,6 +193,8 @@ def choose_slices(
     ``hot_rows`` rows is taken. Only counts are computed, and only their maximum reaches the driver.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
+    if limit == UNBOUNDED:
+        return None
 
     def largest(*keys: Column | str) -> int:
         return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import is_distinct
 from ..functions.temporal import age_years
 from ..operators.cleaning import to_wide
 from ..operators.episodes import first_episode, vent_episodes
-from ..operators.events import categorize, filter_codes, flag_events, union_distinct
+from ..operators.events import categorize, filter_codes, union_distinct
 from ..operators.infusions import charted_infusions, ordered_infusions, vasopressor_durations
 from ..operators.intervals import flag_in_intervals
 from ..operators.nearest import index_samples, nearest_covariates
+from ..operators.running import UNBOUNDED
 from ..sources.lineage import cut
 from . import codes
 
@@ -49,19 +50,37 @@ def vent_settings(chart: DataFrame, procedures: DataFrame) -> DataFrame:
     rows = filter_codes(chart, "itemid", items).where(
         F.col("value").isNotNull() & is_distinct("error", 1)
     )
-    charted = flag_events(rows, ["icustay_id", "charttime"], setting_rules())
-    done = filter_codes(procedures, "itemid", codes.PROCEDURE_EXTUBATIONS).select(
-        "icustay_id",
-        F.col("starttime").alias("charttime"),
-        F.lit(0).alias("MechVent"),
-        F.lit(0).alias("OxygenTherapy"),
-        F.lit(1).alias("Extubated"),
-        F.when(F.col("itemid") == codes.PROCEDURE_SELF_EXTUBATION, 1).otherwise(0).alias("SelfExtubated"),
+    done = filter_codes(procedures, "itemid", codes.PROCEDURE_EXTUBATIONS)
+    # Both tables' rows are united and grouped once. The procedures' stored columns come first and as they are: Spark then
+    # sees that a union of tables stored by stay is still dealt by stay. Charts carry their flags as bits of a negative code.
+    rules = setting_rules()
+    bits = {name: 1 << n for n, name in enumerate(rules)}
+    marks = reduce(Column.__add__, [F.when(rule, bits[name]).otherwise(0) for name, rule in rules.items()])
+    every = done.select("icustay_id", "itemid", "starttime").union(rows.select("icustay_id", -1 - marks, "charttime"))
+    code = F.col("itemid")
+    charted, themselves = code < 0, code == codes.PROCEDURE_SELF_EXTUBATION
+    grouped = every.groupBy("icustay_id", "starttime").agg(
+        *[F.max(F.when(charted, ((-1 - code).bitwiseAND(bit) > 0).cast("int"))).alias(name) for name, bit in bits.items()],
+        F.max(charted).alias("__charted"),
+        F.max(~charted & ~themselves).alias("__done"),
+        F.max(themselves).alias("__done_self"),
     )
-    return union_distinct(charted, done)
 
+    def extubation(own: int) -> F.Column:
+        flags = {"Extubated": 1, "SelfExtubated": own}
+        return F.struct(*[F.lit(flags.get(name, 0)).alias(name) for name in rules])
 
-def chart_covariates(chart: DataFrame, index: DataFrame) -> DataFrame:
+    # One row for the charts of an instant, one for each kind of procedure; equal rows are one.
+    kinds = F.array(
+        F.when(F.col("__charted"), F.struct(*rules)),
+        F.when(F.col("__done"), extubation(0)),
+        F.when(F.col("__done_self"), extubation(1)),
+    )
+    flags = F.inline(F.array_distinct(F.filter(kinds, lambda row: row.isNotNull())))
+    return grouped.select("icustay_id", F.col("starttime").alias("charttime"), flags)
+
+
+def chart_covariates(chart: DataFrame, index: DataFrame, in_place: bool = False) -> DataFrame:
     """Per stay and category the chart row nearest to the index time, at most two hours away."""
     items = [code for group in codes.CHART_CATEGORIES.values() for code in group]
     events = categorize(
@@ -79,6 +98,7 @@ def chart_covariates(chart: DataFrame, index: DataFrame) -> DataFrame:
         pick="pick_charttime",
         first_only=True,
         keep=(F.col("min_time_diff") <= codes.CHART_MAX_GAP) & F.col("value").isNotNull(),
+        in_place=in_place,
     )
     return picked.select(
         "subject_id", "icustay_id", "itemid", "category", "value", "valueuom",
@@ -86,7 +106,7 @@ def chart_covariates(chart: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def lab_covariates(labs: DataFrame, index: DataFrame) -> DataFrame:
+def lab_covariates(labs: DataFrame, index: DataFrame, in_place: bool = False) -> DataFrame:
     """Per patient and category the labs of the index instant; hemoglobin may be a day away."""
     items = [code for group in codes.LAB_CATEGORIES.values() for code in group]
     events = categorize(
@@ -106,6 +126,7 @@ def lab_covariates(labs: DataFrame, index: DataFrame) -> DataFrame:
         first_only=False,
         keep={"Hemoglobin": gap <= codes.HEMOGLOBIN_MAX_GAP},
         default=gap == 0,
+        in_place=in_place,
     )
     return picked.select(
         "subject_id", "itemid", "category", "value", "valueuom",
@@ -156,7 +177,8 @@ def vasopressors(
 class Cohort:
     """All feature tables of a set of base tables; each is built when it is first asked for.
 
-    ``reuse`` is applied to the results that several others read.
+    ``reuse`` is applied to the results that several others read. ``in_place`` is for tables stored by stay
+    and patient without very large ones (``layout.StayLayout``): base tables are then not exchanged.
     """
 
     def __init__(
@@ -164,8 +186,10 @@ class Cohort:
         tables: Mapping[str, DataFrame],
         reuse: Callable[[DataFrame], DataFrame] = cut,
         hot_rows: int | None = None,
+        in_place: bool = False,
     ):
-        self.tables, self._reuse, self._hot_rows = tables, reuse, hot_rows
+        self.tables, self._reuse, self._in_place = tables, reuse, in_place
+        self._hot_rows = UNBOUNDED if in_place else hot_rows
 
     @cached_property
     def settings(self) -> DataFrame:
@@ -187,16 +211,17 @@ class Cohort:
                 cap=codes.EPISODE_CAP,
                 max_gap=codes.INDEX_MAX_GAP,
                 hot_rows=self._hot_rows,
+                in_place=self._in_place,
             )
         )
 
     @cached_property
     def chart_covariates(self) -> DataFrame:
-        return self._reuse(chart_covariates(self.tables["chartevents"], self.index_samples))
+        return self._reuse(chart_covariates(self.tables["chartevents"], self.index_samples, self._in_place))
 
     @cached_property
     def lab_covariates(self) -> DataFrame:
-        return lab_covariates(self.tables["labevents"], self.index_samples)
+        return lab_covariates(self.tables["labevents"], self.index_samples, self._in_place)
 
     @cached_property
     def long_covariates(self) -> DataFrame:
