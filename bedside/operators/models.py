@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.lineage import remove, written
 from .folds import Moments, fold_moments
 
 REGRESSORS = ("linear", "ridge", "sgd", "kernel_huber", "gbt")
@@ -29,6 +30,8 @@ SGD_PENALTY = 1e-4
 INVERSE_PENALTY = 1.0
 HIDDEN_LAYERS = {3: (6, 3), 7: (12, 8, 6, 4, 4)}
 KERNEL_FEATURES = 64
+#: Bins of a feature in boosted trees, as Spark ML cuts them.
+TREE_BINS = 32
 
 _TARGET = "__target"
 
@@ -71,6 +74,53 @@ def _inputs(
     return [*stages, VectorAssembler(inputCols=columns, outputCol="__features")]
 
 
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = TREE_BINS) -> list[list[float]]:
+    """Ascending edges that cut each column into ``bins`` bins at most: midpoints of its values if these are few, else quantiles."""
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    told = df.agg(
+        *[F.percentile_approx(c, shares).alias(f"q{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(columns)],
+    ).first()
+    edges = []
+    for i, c in enumerate(columns):
+        own = sorted(set(told[f"q{i}"] or []))
+        if told[f"n{i}"] <= 2 * bins:
+            values = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+            if len(values) <= bins:
+                own = [a + (b - a) / 2 for a, b in zip(values, values[1:])]
+        edges.append(own)
+    return edges
+
+
+def _binned(columns: Sequence[str], edges: Sequence[Sequence[float]]) -> SQLTransformer:
+    """Number of each column's bin as ``__b_0``, ``__b_1``, ...; a value on an edge is in the bin below."""
+    terms = []
+    for i, (c, own) in enumerate(zip(columns, edges)):
+        cases = "".join(f" WHEN {c} <= {_number(e)} THEN {k}D" for k, e in enumerate(own))
+        terms.append(f"CASE WHEN {c} IS NULL THEN NULL{cases} ELSE {len(own)}D END AS __b_{i}")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
+
+
+def _boosted(df: DataFrame, scaling: SQLTransformer, features: Sequence[str], estimator: GBTRegressor) -> list:
+    """Stages of trees that are grown on cells instead of rows.
+
+    A tree sees of a row only the bins of its features, so rows with the same bins get the same prediction in every round,
+    and what a split gains depends on their number and the sum of their targets alone. Rows become one weighted row a cell:
+    at most ``TREE_BINS`` to the power of the number of features, however many rows there are.
+    """
+    columns = [f"__z_{c}" for c in features]
+    scaled = scaling.transform(df)
+    binned = _binned(columns, bin_edges(scaled, columns))
+    names = [f"__b_{i}" for i in range(len(columns))]
+    assembler = VectorAssembler(inputCols=names, outputCol="__features")
+    cells = written(
+        binned.transform(scaled).groupBy(*names).agg(F.avg(_TARGET).alias(_TARGET), F.count(F.lit(1)).cast("double").alias("__rows"))
+    )
+    grown = estimator.setWeightCol("__rows").fit(assembler.transform(cells))
+    remove(cells)
+    return [scaling, binned, assembler, grown]
+
+
 def _moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     return fold_moments(df.withColumn("__all", F.lit(0)), columns, "__all")[0]
 
@@ -103,14 +153,17 @@ def fit_regressor(
             loss="huber", regParam=1.0 / (INVERSE_PENALTY * n), standardization=False, **common
         )
     elif kind == "gbt":
-        estimator = GBTRegressor(maxIter=20, maxDepth=5, seed=seed, **common)
+        estimator = GBTRegressor(maxIter=20, maxDepth=5, maxBins=TREE_BINS, seed=seed, **common)
     else:
         raise ValueError(f"unknown regressor {kind!r}, one of {REGRESSORS}")
     back = SQLTransformer(
         statement=f"SELECT *, __scaled * {_number(sd)} + {_number(mu)} AS predicted FROM __THIS__"
     )
+    rows = df.withColumn(_TARGET, (F.col(label) - mu) / sd)
+    if kind == "gbt":
+        return PipelineModel([*_boosted(rows, _scaling(m, features, passthrough), features, estimator), back])
     stages = [*_inputs(m, features, passthrough, kind == "kernel_huber", seed), estimator, back]
-    return Pipeline(stages=stages).fit(df.withColumn(_TARGET, (F.col(label) - mu) / sd))
+    return Pipeline(stages=stages).fit(rows)
 
 
 def fit_classifier(

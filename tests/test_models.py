@@ -129,3 +129,31 @@ def test_saved_model_scores_like_the_fitted_one(samples, tmp_path):
     want = apply_model(model, rows).agg(F.sum(F.rint(F.col("predicted") * 100) / 100)).first()[0]
     got = score(rows, str(tmp_path), variant).agg(F.sum("predicted")).first()[0]
     assert got == pytest.approx(want)
+
+
+def test_boosted_trees_grow_on_cells_as_on_rows(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 12, 3000), rng.integers(0, 7, 3000), rng.integers(0, 2, 3000)]).astype(float)
+    y = x[:, 0] ** 2 + 5 * x[:, 1] * x[:, 2] + rng.normal(0, 1, 3000)
+    data = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double")
+    seen, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    got = predictions(fit_regressor(data, "gbt", FEATURES, "y"), data)
+    assert seen == [len(np.unique(x, axis=0))]  # before: one training row for every row
+    centred = data.withColumn("t", (F.col("y") - float(y.mean())) / float(y.std()))
+    plain = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="v"), GBTRegressor(featuresCol="v", labelCol="t", predictionCol="p", maxIter=20, maxDepth=5, seed=1)])
+    want = np.array([r[0] for r in plain.fit(centred).transform(centred).orderBy("id").select("p").collect()]) * y.std() + y.mean()
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_bin_edges_cut_many_values_at_quantiles_and_few_between_them(spark):
+    from bedside.operators.models import bin_edges
+
+    data = spark.range(10_000).select((F.col("id") * 1.0).alias("a"), (F.col("id") % 3 * 2.0).alias("b"), F.lit(1.0).alias("c"))
+    many, few, one = bin_edges(data, ["a", "b", "c"])
+    assert len(many) == 31 and many == pytest.approx([10_000 * i / 32 for i in range(1, 32)], abs=20)
+    assert few == [1.0, 3.0] and one == []
