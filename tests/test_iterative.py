@@ -242,3 +242,30 @@ def test_landmarks_cover_the_rows(frame, table):
     best = radius(z[kernels.farthest(z, 20)])
     assert len(points) == 20 and radius(points) < 2 * best and radius(again) < 2 * best
     assert len(kernels.farthest(np.repeat(z[:3], 5, axis=0), 20)) == 3 and len(kernels.farthest(z[:0], 3)) == 0
+
+
+def test_shards_side_by_side_move_as_alone():
+    rng = np.random.default_rng(4)
+    sizes, steps = (3, 4, 1), networks.Steps(batch=20)
+    scale = batched.Scaling(tuple(FEATURES), (0, 1), np.array([[0.0, 1, 2], [1, 1, 1]]), np.full((2, 3), 2.0), np.ones(2), np.zeros(2), np.ones(2))
+    state, full = np.stack([networks.glorot(sizes, k) for k in (1, 2)]), [130, 70, 95]
+    x, y = rng.normal(size=(3, 130, 3)), rng.integers(0, 2, (3, 130)).astype(float)
+    weight = np.stack([np.where(np.arange(130) < n, np.arange(130) % 2 == np.arange(2)[:, None], 0) for n in full]).astype(float)
+
+    def moved(own):
+        out = networks.Shards(len(own), state, np.zeros((2, *state.shape)), sizes, networks.cross_entropy, steps, 0.01, np.zeros(2))
+        n = max(full[s] for s in own)
+        out.learn(x[own, :n], y[own, :n], weight[own, :, :n], scale, [np.random.default_rng([1, s]) for s in own], 2)
+        return out.result()
+
+    assert moved([0, 1, 2]) == pytest.approx(sum(moved([s]) for s in range(3)), rel=1e-9, abs=1e-12)
+    assert moved([0, 1, 2])[:, 0] == pytest.approx(2 * weight.sum(axis=(0, 2)) / 2)
+
+
+@pytest.mark.parametrize("shard_rows, held_rows", [(200, 10_000), (200, 500), (200, 10)])
+def test_training_does_not_depend_on_how_many_shards_go_side_by_side(frame, monkeypatch, shard_rows, held_rows):
+    scale = batched.scaling(frame, FEATURES, "label")
+    want = networks.train_by_fold(frame, scale, (4,), ["id"], rounds=2, shard_rows=shard_rows)
+    monkeypatch.setattr(networks, "HELD_ROWS", held_rows)
+    got = networks.train_by_fold(frame, scale, (4,), ["id"], rounds=2, shard_rows=shard_rows)
+    assert got.state == pytest.approx(want.state, rel=1e-9) and got.history == pytest.approx(want.history, rel=1e-9)
