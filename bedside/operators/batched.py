@@ -77,12 +77,6 @@ def _read(batch: pa.RecordBatch, features: Sequence[str]) -> Batch:
     return x, batch.column("label").to_numpy(zero_copy_only=False).astype(float), batch.column("fold").to_numpy(zero_copy_only=False)
 
 
-def learners(models: Sequence[int], fold: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Number of each model and which rows it learns from."""
-    for g, out in enumerate(models):
-        yield g, fold != out
-
-
 def spread(rows: DataFrame) -> DataFrame:
     """Rows that come in fewer partitions than there are cores, as from one small file, are dealt out; others stay."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

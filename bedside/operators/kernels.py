@@ -80,13 +80,21 @@ class Kernel:
     def width(self) -> int:
         return self.root.shape[1]
 
+    def values(self, z: np.ndarray) -> np.ndarray:
+        """Kernel of the rows and the landmarks, before it is turned by ``root``."""
+        return _gauss(z, self.points, self.gamma)
+
     def inputs(self, z: np.ndarray) -> np.ndarray:
-        return _gauss(z, self.points, self.gamma) @ self.root
+        return self.values(z) @ self.root
 
 
 def _gauss(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    square = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T
-    return np.exp(-gamma * np.maximum(square, 0))
+    """One product gives minus gamma times the squared distances."""
+    left = np.hstack([a, (a**2).sum(axis=1)[:, None], np.ones((len(a), 1))])
+    right = gamma * np.hstack([2 * b, -np.ones((len(b), 1)), -(b**2).sum(axis=1)[:, None]])
+    square = left @ right.T
+    np.minimum(square, 0, out=square)
+    return np.exp(square, out=square)
 
 
 @dataclass
@@ -100,7 +108,7 @@ class Machine:
 
     def margin(self, scale: Scaling, g: int, x: np.ndarray) -> np.ndarray:
         w = self.fit.coefficients[g, 0]
-        return self.kernel.inputs(scale.inputs(g, x)) @ w[:-1] + w[-1]
+        return self.kernel.values(scale.inputs(g, x)) @ (self.kernel.root @ w[:-1]) + w[-1]
 
 
 def fit_machines(
@@ -116,7 +124,7 @@ def fit_machines(
     hinge = kind == "classification"
 
     def inputs(g: int, x: np.ndarray) -> np.ndarray:
-        return kernel.inputs(scale.inputs(g, x))
+        return kernel.values(scale.inputs(g, x))
 
     def targets(g: int, y: np.ndarray) -> np.ndarray:
         return 2 * y - 1 if hinge else scale.targets(g, y)
@@ -126,7 +134,7 @@ def fit_machines(
     for corner in corners:
         loss = Ramp("hinge", 0.0, corner) if hinge else Ramp("insensitive", TUBE, corner)
         fit = newton_by_fold(
-            rows, scale, loss, penalty, inputs=inputs, width=kernel.width, targets=targets,
+            rows, scale, loss, penalty, inputs=inputs, width=kernel.width, turn=kernel.root, targets=targets,
             start=None if fit is None else fit.coefficients, tolerance=1e-6,
         )
         passes += fit.passes

@@ -3,6 +3,10 @@
 A pass returns, per fold, the value of its objective, the gradient and the Hessian at the point it was sent, over
 the rows outside the fold. A step that did not lower the objective is halved and tried again in the next pass, for
 that fold alone; folds that have settled drop out. The penalty is on all coefficients but the intercept.
+
+Sums are taken over inputs that tasks get cheaply, and turned into those of the fit on the driver, which is exact as
+the latter are linear in the former: folds that differ in scaling only share products of inputs, and a kernel machine's
+tasks need not turn kernel values. Rows where the loss has no curvature add nothing to a Hessian and are left out of it.
 """
 
 from __future__ import annotations
@@ -13,11 +17,13 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .batched import Scaling, learners, total
+from .batched import Scaling, total
 
 #: (margins n x k, targets n) -> values n, gradients n x k, Hessians n x k x k
 Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 Inputs = Callable[[int, np.ndarray], np.ndarray]
+#: Rows that are worked on at once, few enough for a core's cache.
+CHUNK = 2_000
 
 
 def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,35 +79,72 @@ class Fit:
 
 
 def _sizes(k: int, width: int) -> tuple[int, int]:
-    """Coefficients of a model, and numbers it sends: value, gradient and the upper half of the Hessian."""
+    """Coefficients of a model, and numbers it sends: value, gradient and, for each pair of classes, half of a symmetric matrix."""
     q = k * width
-    return q, 1 + q + q * (q + 1) // 2
+    return q, 1 + q + k * (k + 1) // 2 * (width * (width + 1) // 2)
+
+
+def _with_ones(z: np.ndarray) -> np.ndarray:
+    return np.hstack([z, np.ones((len(z), 1))])
+
+
+def _shared_sums(batch, models, wanted, at, inputs, targets, loss: Loss) -> np.ndarray:
+    """Value, gradient and Hessian of the wanted models over a record batch, one after the other; all have the same ``inputs`` (raw features)."""
+    x, y, fold = batch
+    k, width = at.shape[1:]
+    a, b = np.triu_indices(k)
+    i, j = np.triu_indices(width)
+    out = np.zeros((len(wanted), _sizes(k, width)[1]))
+    for start in range(0, len(x), CHUNK):
+        part = slice(start, start + CHUNK)
+        z = _with_ones(inputs(x[part]))
+        slopes, curves = [], []
+        for own, g in zip(out, wanted):
+            learns = (fold[part] != models[g]).astype(float)
+            value, first, second = loss(z @ at[g].T, targets(g, y[part]))
+            own[0] += value @ learns
+            slopes.append(first * learns[:, None])
+            curves.append(second[:, a, b] * learns[:, None])
+        out[:, 1 : k * width + 1] += (np.hstack(slopes).T @ z).reshape(len(wanted), -1)
+        out[:, k * width + 1 :] += (np.hstack(curves).T @ (z[:, i] * z[:, j])).reshape(len(wanted), -1)
+    return out.reshape(-1)
 
 
-def _sums(batch, models, wanted, at, inputs: Inputs, targets, loss: Loss) -> np.ndarray:
-    """Value, gradient and Hessian of the wanted models over a record batch, one after the other."""
+def _own_sums(batch, models, wanted, at, inputs: Inputs, targets, loss: Loss) -> np.ndarray:
+    """The same where each model has ``inputs`` (model, raw features) of its own."""
     x, y, fold = batch
     k, width = at.shape[1:]
-    q, size = _sizes(k, width)
-    out = np.zeros((len(wanted), size))
-    place = {g: i for i, g in enumerate(wanted)}
-    for g, rows in learners(models, fold):
-        if g not in place or not rows.any():
-            continue
-        z = inputs(g, x[rows])
-        z = np.hstack([z, np.ones((len(z), 1))])
-        value, first, second = loss(z @ at[g].T, targets(g, y[rows]))
-        own = out[place[g]]
-        own[0] = value.sum()
-        own[1 : q + 1] = (first.T @ z).reshape(-1)
-        hessian = np.zeros((k, width, k, width))
-        for a in range(k):
-            for b in range(a, k):
-                hessian[a, :, b] = z.T @ (second[:, a, b, None] * z)
-        own[q + 1 :] = hessian.reshape(q, q)[np.triu_indices(q)]
+    half = np.triu_indices(width)
+    out = np.zeros((len(wanted), _sizes(k, width)[1]))
+    for own, g in zip(out, wanted):
+        learns = fold != models[g]
+        xs, ys = x[learns], y[learns]
+        for start in range(0, len(xs), CHUNK):
+            z = _with_ones(inputs(g, xs[start : start + CHUNK]))
+            value, first, second = loss(z @ at[g].T, targets(g, ys[start : start + CHUNK]))
+            own[0] += value.sum()
+            own[1 : k * width + 1] += (first.T @ z).reshape(-1)
+            curves = []
+            for a, b in zip(*np.triu_indices(k)):
+                bent = np.flatnonzero(second[:, a, b])
+                zs = z if len(bent) == len(z) else z[bent]
+                curves.append((zs.T @ (second[bent, a, b, None] * zs))[half])
+            own[k * width + 1 :] += np.concatenate(curves)
     return out.reshape(-1)
 
 
+def _whole_hessian(flat: np.ndarray, k: int, width: int) -> np.ndarray:
+    """Blocks (k x width x k x width) from the halves that were sent."""
+    out = np.zeros((k, width, k, width))
+    half = np.triu_indices(width)
+    for own, a, b in zip(flat.reshape(-1, len(half[0])), *np.triu_indices(k)):
+        block = np.zeros((width, width))
+        block[half] = own
+        block += np.triu(block, 1).T
+        out[a, :, b] = out[b, :, a] = block
+    return out
+
+
 def newton_by_fold(
     rows: DataFrame,
     scale: Scaling,
@@ -111,6 +154,7 @@ def newton_by_fold(
     classes: int = 1,
     inputs: Inputs | None = None,
     width: int | None = None,
+    turn: np.ndarray | None = None,
     targets: Callable[[int, np.ndarray], np.ndarray] | None = None,
     start: np.ndarray | None = None,
     most_passes: int = 60,
@@ -119,14 +163,27 @@ def newton_by_fold(
     """Minimise, for every model of ``scale``, the sum of ``loss`` over its training rows plus penalty / 2 times the squared coefficients.
 
     ``rows``: features, ``label`` and ``fold``. ``inputs`` (model, raw features) are the scaled features unless given, with
-    their number as ``width``. A model has settled when no entry of its gradient is above ``tolerance`` times its
+    their number as ``width``; with ``turn`` (their number x width) the fit's inputs are ``inputs @ turn``. A model has settled when no entry of its gradient is above ``tolerance`` times its
     rows, or when its objective cannot be lowered any more in floating point.
     """
-    inputs = inputs or scale.inputs
     targets = targets or (lambda g, y: y)
     width = (width or len(scale.features)) + 1
     many, models = len(scale.models), scale.models
-    q, size = _sizes(classes, width)
+    if inputs is None:
+        center, spread = scale.center.mean(axis=0), scale.spread.mean(axis=0)
+        turns = []
+        for g in range(many):
+            own = np.eye(width)
+            own[:-1, :-1] *= spread / scale.spread[g]
+            own[-1, :-1] = (center - scale.center[g]) / scale.spread[g]
+            turns.append(own)
+        sums, inputs = _shared_sums, lambda x: (x - center) / spread
+    else:
+        own = np.eye(width) if turn is None else np.pad(turn, ((0, 1), (0, 1)))
+        own[-1, -1] = 1.0
+        turns, sums = [own] * many, _own_sums
+    sent = len(turns[0])
+    q, (raw, size) = classes * width, _sizes(classes, sent)
     ridge = np.tile(np.append(np.ones(width - 1), 0.0), classes)
     best = np.zeros((many, classes, width)) if start is None else start.copy()
     value, gradient = np.full(many, np.inf), np.full(many, np.inf)
@@ -135,9 +192,10 @@ def newton_by_fold(
     while open_ and passes < most_passes:
         trial = best + length[:, None, None] * step
         wanted = tuple(open_)
+        point = np.stack([trial[g] @ turns[g].T for g in range(many)])
 
-        def add(batch, trial=trial, wanted=wanted):
-            return _sums(batch, models, wanted, trial, inputs, targets, loss)
+        def add(batch, point=point, wanted=wanted):
+            return sums(batch, models, wanted, point, inputs, targets, loss)
 
         found = total(rows, scale.features, add, len(wanted) * size).reshape(len(wanted), size)
         passes += 1
@@ -149,16 +207,15 @@ def newton_by_fold(
                 if length[g] < 1e-9:
                     open_.remove(g)
                 continue
-            slope = own[1 : q + 1] + penalty[g] * ridge * w
+            slope = (own[1 : raw + 1].reshape(classes, sent) @ turns[g]).reshape(-1) + penalty[g] * ridge * w
             stuck = value[g] - now <= 1e-14 * abs(now)
             best[g], value[g] = trial[g], now
             gradient[g] = np.abs(slope).max() / scale.rows[g]
             if gradient[g] <= tolerance or stuck:
                 open_.remove(g)
                 continue
-            curve = np.zeros((q, q))
-            curve[np.triu_indices(q)] = own[q + 1 :]
-            curve += np.triu(curve, 1).T + penalty[g] * np.diag(ridge)
+            curve = turns[g].T @ _whole_hessian(own[raw + 1 :], classes, sent).swapaxes(1, 2) @ turns[g]
+            curve = curve.swapaxes(1, 2).reshape(q, q) + penalty[g] * np.diag(ridge)
             # the intercepts of several classes may move together, so the curve can be flat
             step[g] = -np.linalg.lstsq(curve + 1e-12 * np.trace(curve) * np.eye(q), slope, rcond=None)[0].reshape(classes, width)
             length[g] = 1.0

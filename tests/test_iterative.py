@@ -269,3 +269,24 @@ def test_training_does_not_depend_on_how_many_shards_go_side_by_side(frame, monk
     monkeypatch.setattr(networks, "HELD_ROWS", held_rows)
     got = networks.train_by_fold(frame, scale, (4,), ["id"], rounds=2, shard_rows=shard_rows)
     assert got.state == pytest.approx(want.state, rel=1e-9) and got.history == pytest.approx(want.history, rel=1e-9)
+
+
+def test_newton_on_inputs_turned_by_the_driver(frame):
+    rows = relabelled(frame, "two")
+    scale = batched.scaling(rows, FEATURES)
+    turn = np.array([[1.0, 0.5], [0.0, 2.0], [-1.0, 1.0]])
+    for loss in (newton.logistic, newton.Ramp("hinge", 0.0, 0.5)):
+        options = {"width": 2, "targets": lambda g, y: y if loss is newton.logistic else 2 * y - 1}
+        got = newton.newton_by_fold(rows, scale, loss, np.ones(4), inputs=scale.inputs, turn=turn, **options)
+        want = newton.newton_by_fold(rows, scale, loss, np.ones(4), inputs=lambda g, x: scale.inputs(g, x) @ turn, **options)
+        assert got.coefficients == pytest.approx(want.coefficients, abs=1e-7)
+
+
+@pytest.mark.parametrize("loss, k", [(newton.logistic, 1), (newton.softmax, 3)])
+def test_sums_of_models_that_share_inputs_equal_their_own(loss, k):
+    rng = np.random.default_rng(2)
+    batch = rng.normal(size=(5000, 3)), rng.integers(0, max(2, k), 5000).astype(float), rng.integers(0, 3, 5000)
+    at, args = rng.normal(size=(3, k, 4)), ((0, 1, 2), (0, 2))
+    shared = newton._shared_sums(batch, *args, at, lambda x: x, lambda g, y: y, loss)
+    own = newton._own_sums(batch, *args, at, lambda g, x: x, lambda g, y: y, loss)
+    assert shared == pytest.approx(own, rel=1e-9, abs=1e-7)
