@@ -2,7 +2,8 @@
 
 A pass returns, per fold, the value of its objective, the gradient and the Hessian at the point it was sent, over
 the rows outside the fold. A step that did not lower the objective is halved and tried again in the next pass, for
-that fold alone; folds that have settled drop out. The penalty is on all coefficients but the intercept.
+that fold alone; folds that have settled drop out. Where the loss is a ramp, halving is often needed, so a pass also
+returns the values at shorter lengths, and the next one goes to the lowest. The penalty is on all coefficients but the intercept.
 
 Sums are taken over inputs that tasks get cheaply, and turned into those of the fit on the driver, which is exact as
 the latter are linear in the former: folds that differ in scaling only share products of inputs, and a kernel machine's
@@ -24,6 +25,8 @@ Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarr
 Inputs = Callable[[int, np.ndarray], np.ndarray]
 #: Rows that are worked on at once, few enough for a core's cache.
 CHUNK = 2_000
+#: A step's shorter lengths whose values a pass returns too.
+SHORTER = 0.5 ** np.arange(1, 7)
 
 
 def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,6 +57,11 @@ class Ramp:
     free: float
     corner: float
 
+    def value(self, margin: np.ndarray, target: np.ndarray) -> np.ndarray:
+        over = (1 - target * margin if self.kind == "hinge" else np.abs(margin - target)) - self.free
+        near = np.clip(over, 0, self.corner)
+        return near**2 / (2 * self.corner) + np.maximum(over - self.corner, 0)
+
     def __call__(self, margin: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = margin[:, 0]
         if self.kind == "hinge":
@@ -79,21 +87,30 @@ class Fit:
 
 
 def _sizes(k: int, width: int) -> tuple[int, int]:
-    """Coefficients of a model, and numbers it sends: value, gradient and, for each pair of classes, half of a symmetric matrix."""
+    """Coefficients of a model, and numbers it sends: value, gradient for each pair of classes half of a symmetric matrix, values of shorter steps."""
     q = k * width
-    return q, 1 + q + k * (k + 1) // 2 * (width * (width + 1) // 2)
+    return q, 1 + q + len(SHORTER) + k * (k + 1) // 2 * (width * (width + 1) // 2)
+
+
+def _values(z: np.ndarray, start: np.ndarray, end: np.ndarray, target: np.ndarray, loss: Ramp) -> np.ndarray:
+    """Values (rows x shorter lengths) on the way between two points; margins are linear along it."""
+    first = z @ start[0]
+    return loss.value(first[:, None] + (z @ end[0] - first)[:, None] * SHORTER, target[:, None])
 
 
 def _with_ones(z: np.ndarray) -> np.ndarray:
     return np.hstack([z, np.ones((len(z), 1))])
 
 
-def _shared_sums(batch, models, wanted, at, inputs, targets, loss: Loss) -> np.ndarray:
-    """Value, gradient and Hessian of the wanted models over a record batch, one after the other; all have the same ``inputs`` (raw features)."""
+def _shared_sums(batch, models, wanted, at, before, inputs, targets, loss: Loss) -> np.ndarray:
+    """Value, gradient, values of shorter steps from ``before`` and Hessian of the wanted models over a record batch, one
+    after the other; all have the same ``inputs`` (raw features)."""
     x, y, fold = batch
     k, width = at.shape[1:]
     a, b = np.triu_indices(k)
     i, j = np.triu_indices(width)
+    q = k * width
+    rest = q + 1 + len(SHORTER)
     out = np.zeros((len(wanted), _sizes(k, width)[1]))
     for start in range(0, len(x), CHUNK):
         part = slice(start, start + CHUNK)
@@ -101,35 +118,42 @@ def _shared_sums(batch, models, wanted, at, inputs, targets, loss: Loss) -> np.n
         slopes, curves = [], []
         for own, g in zip(out, wanted):
             learns = (fold[part] != models[g]).astype(float)
-            value, first, second = loss(z @ at[g].T, targets(g, y[part]))
+            target = targets(g, y[part])
+            value, first, second = loss(z @ at[g].T, target)
             own[0] += value @ learns
+            if before is not None:
+                own[q + 1 : rest] += learns @ _values(z, before[g], at[g], target, loss)
             slopes.append(first * learns[:, None])
             curves.append(second[:, a, b] * learns[:, None])
-        out[:, 1 : k * width + 1] += (np.hstack(slopes).T @ z).reshape(len(wanted), -1)
-        out[:, k * width + 1 :] += (np.hstack(curves).T @ (z[:, i] * z[:, j])).reshape(len(wanted), -1)
+        out[:, 1 : q + 1] += (np.hstack(slopes).T @ z).reshape(len(wanted), -1)
+        out[:, rest:] += (np.hstack(curves).T @ (z[:, i] * z[:, j])).reshape(len(wanted), -1)
     return out.reshape(-1)
 
 
-def _own_sums(batch, models, wanted, at, inputs: Inputs, targets, loss: Loss) -> np.ndarray:
+def _own_sums(batch, models, wanted, at, before, inputs: Inputs, targets, loss: Loss) -> np.ndarray:
     """The same where each model has ``inputs`` (model, raw features) of its own."""
     x, y, fold = batch
     k, width = at.shape[1:]
+    q = k * width
+    rest = q + 1 + len(SHORTER)
     half = np.triu_indices(width)
     out = np.zeros((len(wanted), _sizes(k, width)[1]))
     for own, g in zip(out, wanted):
         learns = fold != models[g]
-        xs, ys = x[learns], y[learns]
+        xs, ys = x[learns], targets(g, y[learns])
         for start in range(0, len(xs), CHUNK):
-            z = _with_ones(inputs(g, xs[start : start + CHUNK]))
-            value, first, second = loss(z @ at[g].T, targets(g, ys[start : start + CHUNK]))
+            z, target = _with_ones(inputs(g, xs[start : start + CHUNK])), ys[start : start + CHUNK]
+            value, first, second = loss(z @ at[g].T, target)
             own[0] += value.sum()
-            own[1 : k * width + 1] += (first.T @ z).reshape(-1)
+            own[1 : q + 1] += (first.T @ z).reshape(-1)
+            if before is not None:
+                own[q + 1 : rest] += _values(z, before[g], at[g], target, loss).sum(axis=0)
             curves = []
             for a, b in zip(*np.triu_indices(k)):
                 bent = np.flatnonzero(second[:, a, b])
                 zs = z if len(bent) == len(z) else z[bent]
                 curves.append((zs.T @ (second[bent, a, b, None] * zs))[half])
-            own[k * width + 1 :] += np.concatenate(curves)
+            own[rest:] += np.concatenate(curves)
     return out.reshape(-1)
 
 
@@ -192,10 +216,10 @@ def newton_by_fold(
     while open_ and passes < most_passes:
         trial = best + length[:, None, None] * step
         wanted = tuple(open_)
-        point = np.stack([trial[g] @ turns[g].T for g in range(many)])
+        point, before = (np.stack([v[g] @ turns[g].T for g in range(many)]) for v in (trial, best))
 
-        def add(batch, point=point, wanted=wanted):
-            return sums(batch, models, wanted, point, inputs, targets, loss)
+        def add(batch, point=point, before=before if passes and isinstance(loss, Ramp) else None, wanted=wanted):
+            return sums(batch, models, wanted, point, before, inputs, targets, loss)
 
         found = total(rows, scale.features, add, len(wanted) * size).reshape(len(wanted), size)
         passes += 1
@@ -203,7 +227,12 @@ def newton_by_fold(
             w = trial[g].reshape(-1)
             now = own[0] + penalty[g] / 2 * (ridge * w**2).sum()
             if now > value[g] + 1e-12 * abs(value[g]):
-                length[g] /= 2
+                half = 0.5
+                if isinstance(loss, Ramp):
+                    ways = [best[g].reshape(-1) * (1 - t) + t * w for t in SHORTER]
+                    values = own[raw + 1 : raw + 1 + len(SHORTER)] + [penalty[g] / 2 * (ridge * v**2).sum() for v in ways]
+                    half = SHORTER[values.argmin() if values.min() < value[g] else -1]
+                length[g] *= half
                 if length[g] < 1e-9:
                     open_.remove(g)
                 continue
@@ -214,7 +243,7 @@ def newton_by_fold(
             if gradient[g] <= tolerance or stuck:
                 open_.remove(g)
                 continue
-            curve = turns[g].T @ _whole_hessian(own[raw + 1 :], classes, sent).swapaxes(1, 2) @ turns[g]
+            curve = turns[g].T @ _whole_hessian(own[raw + 1 + len(SHORTER) :], classes, sent).swapaxes(1, 2) @ turns[g]
             curve = curve.swapaxes(1, 2).reshape(q, q) + penalty[g] * np.diag(ridge)
             # the intercepts of several classes may move together, so the curve can be flat
             step[g] = -np.linalg.lstsq(curve + 1e-12 * np.trace(curve) * np.eye(q), slope, rcond=None)[0].reshape(classes, width)

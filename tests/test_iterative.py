@@ -282,11 +282,15 @@ def test_newton_on_inputs_turned_by_the_driver(frame):
         assert got.coefficients == pytest.approx(want.coefficients, abs=1e-7)
 
 
-@pytest.mark.parametrize("loss, k", [(newton.logistic, 1), (newton.softmax, 3)])
+@pytest.mark.parametrize("loss, k", [(newton.logistic, 1), (newton.softmax, 3), (newton.Ramp("hinge", 0.0, 0.3), 1), (newton.Ramp("insensitive", 0.1, 0.3), 1)])
 def test_sums_of_models_that_share_inputs_equal_their_own(loss, k):
     rng = np.random.default_rng(2)
     batch = rng.normal(size=(5000, 3)), rng.integers(0, max(2, k), 5000).astype(float), rng.integers(0, 3, 5000)
     at, args = rng.normal(size=(3, k, 4)), ((0, 1, 2), (0, 2))
-    shared = newton._shared_sums(batch, *args, at, lambda x: x, lambda g, y: y, loss)
-    own = newton._own_sums(batch, *args, at, lambda g, x: x, lambda g, y: y, loss)
+    before = rng.normal(size=(3, k, 4)) if isinstance(loss, newton.Ramp) else None
+    shared = newton._shared_sums(batch, *args, at, before, lambda x: x, lambda g, y: y, loss)
+    own = newton._own_sums(batch, *args, at, before, lambda g, x: x, lambda g, y: y, loss)
     assert shared == pytest.approx(own, rel=1e-9, abs=1e-7)
+    if before is not None:
+        half = newton._own_sums(batch, *args, (at + before) / 2, None, lambda g, x: x, lambda g, y: y, loss).reshape(2, -1)[:, 0]
+        assert own.reshape(2, -1)[:, 1 + 4] == pytest.approx(half, rel=1e-9)
