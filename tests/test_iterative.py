@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bedside.operators import batched, kernels, networks, newton
-from bedside.operators.models import fit_classifier
+from bedside.operators.fold_models import fit_folds
+from bedside.operators.models import apply_model, fit_classifier, fit_regressor
 
 FEATURES = ["a", "b", "c"]
 
@@ -294,3 +295,80 @@ def test_sums_of_models_that_share_inputs_equal_their_own(loss, k):
     if before is not None:
         half = newton._own_sums(batch, *args, (at + before) / 2, None, lambda g, x: x, lambda g, y: y, loss).reshape(2, -1)[:, 0]
         assert own.reshape(2, -1)[:, 1 + 4] == pytest.approx(half, rel=1e-9)
+
+
+def objective(margin, label, w):
+    return np.maximum(1 - (2 * label - 1) * margin, 0).sum() + (w**2).sum() / 2
+
+
+def test_kernel_huber_of_all_folds_equals_one_fit_a_fold(spark, frame):
+    models, n = jobs(spark, lambda: fit_folds(frame, ["id"], "regression", "kernel_huber", FEATURES))
+    assert n <= 2 * models.rounds + 5 and models.settled.max() < 1e-6
+    got = {r.id: r.predicted for r in models.predict(frame).collect()}
+    model = fit_regressor(frame.where("fold <> 2"), "kernel_huber", FEATURES, "label")
+    want = {r.id: r.predicted for r in apply_model(model, frame.where("fold = 2")).collect()}
+    spread = np.std(list(want.values()))
+    assert max(abs(got[i] - v) for i, v in want.items()) < 0.01 * spread
+    as_sql = {r.id: r.predicted for r in apply_model(models.pipeline(2), frame.where("fold = 2")).collect()}
+    assert max(abs(got[i] - v) for i, v in as_sql.items()) < 1e-8 * spread
+
+
+def test_kernel_svc_of_all_folds_is_no_worse_than_one_fit_a_fold(spark, frame):
+    rows = relabelled(frame, "two")
+    models, n = jobs(spark, lambda: fit_folds(rows, ["id"], "classification", "kernel_svc", FEATURES))
+    assert n <= 2 * models.rounds + 5
+    model = fit_classifier(rows.where("fold <> 2"), "kernel_svc", FEATURES)
+    fitted = model.stages[-2]
+    learned = rows.where("fold <> 2").toPandas()
+    margin = models.outputs(2, learned[FEATURES].to_numpy())[:, 0]
+    waves = kernels.Waves.drawn(3, 1, 64)
+    z = waves.values(models.scale.inputs(2, learned[FEATURES].to_numpy()))
+    label = learned.label.to_numpy()
+    w = fitted.coefficients.toArray()
+    theirs = objective(z @ w + fitted.intercept, label, w)
+    own = np.linalg.lstsq(np.column_stack([z, np.ones(len(z))]), margin, rcond=None)[0][:-1]
+    assert objective(margin, label, own) <= 1.01 * theirs
+    assert np.maximum(1 - (2 * label - 1) * margin, 0).sum() < len(label) / 2
+    got = {r.id: (r.predicted, r.score) for r in models.predict(rows).collect()}
+    told = {r.id: (r.predicted, r.score) for r in apply_model(model, rows.where("fold = 2")).collect()}
+    assert np.mean([got[i][0] == v[0] for i, v in told.items()]) > 0.97
+    assert np.mean([abs(got[i][1] - v[1]) for i, v in told.items()]) < 0.05
+
+
+@pytest.mark.parametrize("kind, column", [("logistic", "two"), ("svr", "label"), ("kernel_huber", "label")])
+def test_a_start_on_a_part_of_the_rows_saves_passes_and_keeps_the_minimum(frame, monkeypatch, kind, column):
+    rows = frame if column == "label" else relabelled(frame, column)
+    task = "regression" if column == "label" else "classification"
+    whole = fit_folds(rows, ["id"], task, kind, FEATURES)
+    monkeypatch.setattr(newton, "START_ROWS", 150)
+    started = fit_folds(rows, ["id"], task, kind, FEATURES)
+    assert started.rounds < whole.rounds
+    x = rows.toPandas()[FEATURES].to_numpy()
+    for g in range(4):
+        want = whole.outputs(g, x)
+        assert np.abs(started.outputs(g, x) - want).max() < 1e-3 * want.std()
+    assert started.settled.max() < 1e-4
+
+
+def test_the_spread_of_huber_is_left_out_of_the_inputs(frame):
+    scale = batched.scaling(frame, FEATURES, "label")
+    machine = kernels.fit_waves(frame, scale, "regression", size=16, seed=1)
+    spreads = machine.fit.coefficients[:, 1]
+    assert np.abs(spreads[:, :-1]).max() < 1e-12 and (spreads[:, -1] > 0).all()
+
+
+def test_cosine_by_series():
+    angle = np.concatenate([np.linspace(-400, 400, 100_001), np.arange(-8, 9) * np.pi / 2])
+    assert np.abs(kernels._cosine(angle.copy()) - np.cos(angle)).max() < 1e-12
+
+
+def test_huber_against_finite_differences():
+    rng = np.random.default_rng(1)
+    margin, target = np.column_stack([rng.normal(0, 2, 40), rng.uniform(0.5, 2, 40)]), rng.normal(size=40)
+    loss = newton.Huber()
+    _, first, second = loss(margin, target)
+    for a, step in enumerate(np.eye(2) * 1e-6):
+        up, down = loss(margin + step, target), loss(margin - step, target)
+        assert (up[0] - down[0]) / 2e-6 == pytest.approx(first[:, a], abs=1e-6)
+        assert (up[1] - down[1]) / 2e-6 == pytest.approx(second[:, a], abs=1e-4)
+    assert np.isinf(loss(margin * [1, -1], target)[0]).all()
