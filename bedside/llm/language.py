@@ -128,7 +128,7 @@ def identify_languages(
                 told = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*map(part.column, rest), *told], [*rest, "lang_pred", "score", "lang_set"])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(words.lean(run), schema)
 
 
 def _identify(texts: list[str], known: ngrams.WordValues, langs: list[str], penalty, steps) -> list[tuple[str, float, str]]:

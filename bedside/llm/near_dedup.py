@@ -26,6 +26,8 @@ from ..sources.lineage import cut, written
 SHINGLE = 5
 PERCENT = 80
 BINS, ROWS = 128, 4
+#: Bytes of text whose shingles a task has at a time.
+PART = 1 << 18
 _ORDER = np.stack([np.random.default_rng(1000 + i).permutation(BINS) for i in range(BINS)])
 _BAND = words.mix(np.arange(BINS // ROWS, dtype=np.uint64) + np.uint64(99))
 
@@ -66,7 +68,7 @@ def buckets(own: np.ndarray) -> np.ndarray:
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "body"):
+            for part in words.slices(batch, "body", PART):
                 n, digest, bands = [], [], []
                 for own in shingle_sets(words.encoded(part.column("body").to_pylist()), k):
                     n.append(len(own))
@@ -81,7 +83,7 @@ def _sign(k: int):
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "body"):
+            for part in words.slices(batch, "body", PART):
                 # centres repeat: the texts of a part are split once each
                 number: dict[str, int] = {}
                 pairs = zip(part.column("centre_body").to_pylist(), part.column("body").to_pylist())
@@ -113,7 +115,8 @@ def near_duplicates(
     rows share its component. Null ids are linked with nothing, have a null component and are kept.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("body"))
-    signed = written(rows.mapInArrow(_sign(shingle), "id long, n_shingles long, set_hash binary, bands array<long>"))
+    with words.small_batches(docs.sparkSession):
+        signed = written(rows.mapInArrow(words.lean(_sign(shingle)), "id long, n_shingles long, set_hash binary, bands array<long>"))
     sets = signed.where("id IS NOT NULL AND n_shingles > 0")
 
     # classes of equal sets
@@ -166,14 +169,15 @@ def _linked(members: DataFrame, bodies: DataFrame, shingle: int, percent: int) -
 def _confirmed(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v) of the pairs (centre, node) whose full sets are similar enough."""
     both = pairs.join(bodies, "node").join(bodies.select(F.col("node").alias("centre"), F.col("body").alias("centre_body")), "centre")
-    judged = cut(both.mapInArrow(_confirm(shingle, percent), "centre long, node long, linked boolean"))
+    with words.small_batches(pairs.sparkSession):
+        judged = cut(both.mapInArrow(words.lean(_confirm(shingle, percent)), "centre long, node long, linked boolean"))
     return judged.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "body"):
+            for part in words.slices(batch, "body", PART):
                 own = [s.view(np.int64) for s in shingle_sets(words.encoded(part.column("body").to_pylist()), k)]
                 found = [pa.array(own, pa.list_(pa.int64())), pa.array([len(s) for s in own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(
@@ -190,12 +194,13 @@ def _close_pairs(nodes: DataFrame, bodies: DataFrame, shingle: int, percent: int
     what follows can still make up the overlap they need. Pairs that a centre could not settle, in groups of texts
     that share much and yet too little, mostly have no such shingle; none that is similar enough is lost.
     """
-    tokens = written(
-        nodes.join(bodies, "node")
-        .withColumn("version", F.xxhash64("body"))
-        .mapInArrow(_tokens(shingle), "node long, root long, version long, tokens array<long>, size long")
-        .select("node", "root", "version", "size", F.explode("tokens").alias("token"))
-    )
+    with words.small_batches(nodes.sparkSession):
+        tokens = written(
+            nodes.join(bodies, "node")
+            .withColumn("version", F.xxhash64("body"))
+            .mapInArrow(words.lean(_tokens(shingle)), "node long, root long, version long, tokens array<long>, size long")
+            .select("node", "root", "version", "size", F.explode("tokens").alias("token"))
+        )
     rarity = tokens.groupBy("token").agg(F.count("*").alias("n"))
     in_order = Window.partitionBy("node", "version").orderBy("n", "token")  # one set
     early = (

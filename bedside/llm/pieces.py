@@ -358,7 +358,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
                     columns.append(pa.array([None if t is None else encoder.decode(f.tolist()) == t for t, f in zip(bodies, found)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*rest, ids, *([check] if check else [])])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(words.lean(run), schema)
 
 
 def decode_ids(rows: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", text: str = "text") -> DataFrame:

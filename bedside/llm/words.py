@@ -8,12 +8,15 @@ and is the same on every machine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Everything but blanks: [^\x20\x09-\x0D]
@@ -108,7 +111,48 @@ def encoded(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about a million bytes of text, so that a task has only those as Python objects."""
-    for part in pieces(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+    for part in pieces(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), limit):
         yield batch.slice(part.start, part.stop - part.start)
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Jobs run in here hand texts to Python in record batches of about ``size``, not of 64 MB.
+
+    A batch is held by the executor while it grows, outside of its heap, and by the Python worker, once for each running task.
+    """
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_BYTES)
+        else:
+            spark.conf.set(_BATCH_BYTES, before)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run) -> Run:
+    """``run`` that gives freed memory back to the system when a task ends.
+
+    A Python worker goes on to the next task, and what it keeps counts against its executor meanwhile.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return inner

@@ -3,10 +3,12 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import texts
+from pyspark.sql import functions as F
 
-from bedside.llm import decontaminate, line_dedup
+from bedside.llm import decontaminate, line_dedup, near_dedup, words
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -85,3 +87,53 @@ def test_boilerplate_by_broadcast_and_by_join(spark, monkeypatch, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert Counter((r.text, r.source) for r in got) == without_boilerplate(rows)
     assert sum(r.text == "" and r.source is None for r in got) == 6
+
+
+def test_near_duplicates_hand_texts_over_in_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    def watched(run):
+        def inner(df, *more):
+            if "MapInArrow" in df._jdf.queryExecution().logical().toString():
+                seen.append(spark.conf.get(key))
+            return run(df, *more)
+
+        return inner
+
+    before = spark.conf.get(key)
+    for name in ("written", "cut"):
+        monkeypatch.setattr(near_dedup, name, watched(getattr(near_dedup, name)))
+    body = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"{body} {i % 7} tail {i % 3}") for i in range(40)], "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs).where("kept").count() == 1
+    assert len(seen) >= 3 and set(seen) == {"4m"} and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    long = spark.range(0, 8000, 1, 1).select(F.expr("repeat('word ', 400)").alias("body"))
+    with words.small_batches(spark):
+        assert max(r[0] for r in long.mapInArrow(sizes, "size long").collect()) < 5 << 20
+    assert spark.conf.get(key) == before
+
+
+def test_tasks_give_freed_memory_back():
+    def held():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [b"x" * 60_000 for _ in range(3_000)]  # too small to be mapped one by one
+            pins.append(blocks[-1])  # what lies behind the freed blocks
+            yield batch
+
+    def kept(run):
+        before = held()
+        list(run(iter([None])))
+        return held() - before
+
+    assert kept(words.lean(run)) < 60
+    assert kept(run) > 100  # 180 MB stay otherwise
