@@ -1,13 +1,14 @@
 """Fold-batched iterative fits against closed forms, exact solutions and finite differences."""
 
 import uuid
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bedside.operators import batched, kernels, networks, newton
+from bedside.operators import batched, kernels, networks, newton, perceptrons
 from bedside.operators.fold_models import fit_folds
 from bedside.operators.models import apply_model, fit_classifier, fit_regressor
 
@@ -372,3 +373,61 @@ def test_huber_against_finite_differences():
         assert (up[0] - down[0]) / 2e-6 == pytest.approx(first[:, a], abs=1e-6)
         assert (up[1] - down[1]) / 2e-6 == pytest.approx(second[:, a], abs=1e-4)
     assert np.isinf(loss(margin * [1, -1], target)[0]).all()
+
+
+def test_perceptron_gradients(frame):
+    rng = np.random.default_rng(2)
+    sizes, n = [3, 4, 3, 2], 50
+    flat = rng.normal(0, 1, (2, networks.count(sizes)))
+    z, target, weight = rng.normal(0, 1, (2, 3, n)), (rng.random(n) < 0.4).astype(float), (rng.random((2, n)) < 0.8).astype(float)
+    out = perceptrons.loss_and_gradient(flat, sizes, z, target, weight)
+    for g in range(2):
+        for j in range(flat.shape[1]):
+            near = [flat.copy(), flat.copy()]
+            for own, step in zip(near, (1e-5, -1e-5)):
+                own[g, j] += step
+            high, low = (perceptrons.loss_and_gradient(own, sizes, z, target, weight)[g, 0] for own in near)
+            assert out[g, 1 + j] == pytest.approx((high - low) / 2e-5, abs=1e-5)
+    far = perceptrons.loss_and_gradient(flat * 1e4, sizes, z, target, weight)
+    assert np.isfinite(far).all()
+
+
+def test_searches_reach_the_lowest_point():
+    def told(x):
+        return 100 * (x[1] - x[0] ** 2) ** 2 + (1 - x[0]) ** 2, np.array([-400 * x[0] * (x[1] - x[0] ** 2) - 2 * (1 - x[0]), 200 * (x[1] - x[0] ** 2)])
+
+    search = perceptrons.Search(np.array([-1.2, 1.0]), 200, 1e-12)
+    while not search.done:
+        search.tell(*told(search.at))
+    assert search.point == pytest.approx([1, 1], abs=1e-4) and search.steps < 100
+    short = perceptrons.Search(np.array([-1.2, 1.0]), 5, 1e-12)
+    while not short.done:
+        short.tell(*told(short.at))
+    assert short.steps == 5
+    with pytest.raises(ValueError, match="null"):
+        perceptrons.Search(np.zeros(2), 5, 1e-6).tell(float("nan"), np.zeros(2))
+
+
+@pytest.mark.parametrize("tasks", [0, 256])
+def test_perceptrons_of_all_folds_equal_one_fit_a_fold(spark, frame, table, monkeypatch, tasks):
+    monkeypatch.setattr(perceptrons, "FEW_TASKS", tasks)
+    monkeypatch.setattr("bedside.operators.fold_models.fit_perceptrons", partial(perceptrons.fit_perceptrons, most=8))
+    rows = relabelled(frame, "two")
+    models, n = jobs(spark, lambda: fit_folds(rows, ["id"], "classification", "mlp", FEATURES))
+    assert n <= 2 * models.rounds + 4 and models.rounds < 30
+
+    x, y, fold = table
+    two, sizes, g = (y > np.median(y)).astype(float), [3, 6, 3, 2], 2
+    z = models.scale.inputs(g, x)
+    search = perceptrons.Search(perceptrons._start(sizes, 1), 8, 1e-6)
+    while not search.done:
+        loss, *gradient = perceptrons.loss_and_gradient(search.at[None], sizes, z.T[None], two, (fold != fold[g])[None].astype(float))[0] / (fold != fold[g]).sum()
+        search.tell(loss, np.array(gradient))
+    want = perceptrons.margins(search.point, sizes, z)
+    assert models.outputs(g, x)[:, 0] == pytest.approx(want, abs=1e-6)
+
+    scored = models.predict(rows).where("fold = 2").toPandas().set_index("id")
+    again = apply_model(models.pipeline(g), rows.where("fold = 2")).toPandas().set_index("id").loc[scored.index]
+    assert scored.score.to_numpy() == pytest.approx(again.score.to_numpy(), abs=1e-9)
+    assert scored.score.to_numpy() == pytest.approx(1 / (1 + np.exp(-want[scored.index])), abs=1e-6)
+    assert (scored.predicted == again.predicted).all()
