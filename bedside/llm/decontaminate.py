@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
@@ -20,7 +20,10 @@ from ..sources.lineage import cut
 WINDOW = 13
 _CLEAN = bytes(words.LOWER[b] if words.ALNUM[words.LOWER[b]] else 32 for b in range(256))
 _HITS = "hit_words array<long>, hit_items array<string>, hit_spans array<struct<start:long,end:long>>, n_words long"
-_built: dict[str, ahocorasick.Automaton] = {}  # a worker keeps the last one
+_HIT_TYPES = {
+    "hit_words": pa.list_(pa.int64()), "hit_items": pa.list_(pa.string()),
+    "hit_spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "n_words": pa.int64(),
+}
 
 
 def normalised(text: bytes) -> list[bytes]:
@@ -123,23 +126,23 @@ def mark_contamination(
 def _scanned(docs: DataFrame, windows, rest: list[str], text: str) -> DataFrame:
     schema, key = docs.select(*rest)._jdf.schema().toDDL(), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = automaton(windows.value)
-        trie = _built[key]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = words.kept(key, lambda: automaton(windows.value))
         for batch in batches:
-            hits, item_ids, spans, counts = [], [], [], []
-            for body, hit, known in zip(words.encoded(batch[text]), batch["hit_words"], batch["hit_items"]):
-                found, items, n = scan(trie, body)
-                merged = np.union1d(found, np.asarray(hit, dtype=np.int64)).astype(np.int64)
-                hits.append(merged)
-                item_ids.append(sorted(items.union(known)))
-                spans.append([{"start": b, "end": e} for b, e in original_spans(body, merged)])
-                counts.append(n)
-            yield batch[rest].assign(hit_words=hits, hit_items=item_ids, hit_spans=spans, n_words=counts)
-
-    return docs.mapInPandas(run, ", ".join(x for x in (schema, _HITS) if x))
+            for part in words.slices(batch, text):
+                hits, item_ids, spans, counts = [], [], [], []
+                before = (part.column(c).to_pylist() for c in ("hit_words", "hit_items"))
+                for body, hit, known in zip(words.encoded(part.column(text).to_pylist()), *before):
+                    found, items, n = scan(trie, body)
+                    merged = np.union1d(found, np.asarray(hit, dtype=np.int64)).astype(np.int64)
+                    hits.append(merged)
+                    item_ids.append(sorted(items.union(known)))
+                    spans.append([{"start": b, "end": e} for b, e in original_spans(body, merged)])
+                    counts.append(n)
+                told = [pa.array(v, kind) for v, kind in zip((hits, item_ids, spans, counts), _HIT_TYPES.values())]
+                yield pa.RecordBatch.from_arrays([*map(part.column, rest), *told], [*rest, *_HIT_TYPES])
+
+    return docs.mapInArrow(words.lean(run, key), ", ".join(x for x in (schema, _HITS) if x))
 
 
 def contaminated(n_hit, n_words, share: int = 20):

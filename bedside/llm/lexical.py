@@ -29,7 +29,6 @@ _CLEAN = bytes(words.LOWER[b] if words.ALNUM[words.LOWER[b]] else 32 for b in ra
 _STRETCH = 1 << 20  # bytes that the automaton reads at once
 _CELLS = 1 << 21  # scores and contributions that a task holds at once
 _WAITING = 100_000  # candidates that a task holds before it sorts them
-_built: dict[str, ahocorasick.Automaton] = {}  # a worker keeps the last one
 
 
 class Terms(NamedTuple):
@@ -90,10 +89,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _trie(key: str, terms: list[str]) -> ahocorasick.Automaton:
-    if key not in _built:
-        _built.clear()
-        _built[key] = automaton(terms)
-    return _built[key]
+    return words.kept(key, lambda: automaton(terms))
 
 
 def _collected(block: DataFrame) -> Terms:

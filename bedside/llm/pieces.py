@@ -30,6 +30,8 @@ from . import words
 BLANK = "▁"
 #: Stretches that a worker keeps, and slots for pairs of pieces (a power of two).
 KEPT_STRETCHES, PAIR_SLOTS = 400_000, 1 << 22
+#: Bytes of text whose new stretches take their steps together; the pieces at all of their places are held meanwhile.
+PART = 1 << 18
 _WINDOWS = 4  # a path first looks for a meeting point after so many lengths of the longest piece
 _CODE = 21  # bits of a code point; also of a piece, as pieces that are a code point only are numbered after the others
 _END = (1 << _CODE) - 1  # no code point
@@ -322,15 +324,9 @@ class Encoder:
         return parts == [a, b]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(key: str, vocabulary) -> Encoder:
-    """The encoder of a job; a worker keeps the last one, with what it has learnt, for its next tasks."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(vocabulary.value)
-    return _encoders[key]
+    """The encoder of a job; a worker keeps it, with what it has learnt, for its next tasks."""
+    return words.kept(key, lambda: Encoder(vocabulary.value))
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
@@ -346,7 +342,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, sent)
         for batch in batches:
-            for part in words.slices(batch, text):
+            for part in words.slices(batch, text, PART):
                 bodies = part.column(text).to_pylist()
                 found = encoder.encode_all([t or "" for t in bodies])
                 gone = np.array([t is None for t in bodies], dtype=bool)
@@ -358,7 +354,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
                     columns.append(pa.array([None if t is None else encoder.decode(f.tolist()) == t for t, f in zip(bodies, found)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*rest, ids, *([check] if check else [])])
 
-    return docs.select(*rest).mapInArrow(words.lean(run), schema)
+    return docs.select(*rest).mapInArrow(words.lean(run, key), schema)
 
 
 def decode_ids(rows: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", text: str = "text") -> DataFrame:

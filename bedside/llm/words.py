@@ -11,7 +11,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from typing import NamedTuple
+from typing import NamedTuple, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -137,22 +137,41 @@ def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
             spark.conf.set(_BATCH_BYTES, before)
 
 
+Kept = TypeVar("Kept")
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], Kept]) -> Kept:
+    """What ``make`` builds for the tasks of job ``key``. A worker keeps one such thing: the next job's, of any operator, takes its place."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def lean(run: Run) -> Run:
-    """``run`` that gives freed memory back to the system when a task ends.
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Run, key: str | None = None) -> Run:
+    """``run`` that gives freed memory back to the system when a task ends, and before it begins what another job than ``key`` has kept.
 
     A Python worker goes on to the next task, and what it keeps counts against its executor meanwhile.
     """
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _kept and key not in _kept:
+            _kept.clear()
+            _give_back()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return inner

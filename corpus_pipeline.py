@@ -14,6 +14,7 @@ from bedside.llm.line_dedup import drop_boilerplate
 from bedside.llm.near_dedup import keep_one_of_each
 from bedside.llm.pieces import encode_texts, load_vocabulary
 from bedside.llm.queries import PIECE_MODEL
+from bedside.llm.words import small_batches
 from bedside.sources.lineage import written
 from bedside.sources.tables import load_table
 
@@ -59,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with small_batches(spark):
+            docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

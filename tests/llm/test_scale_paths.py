@@ -1,14 +1,17 @@
 """The ways that only large inputs take, on small ones: same rows as the usual way and as plain versions."""
 
+import gc
 import re
+import weakref
 from collections import Counter
 
+import corpus_pipeline
 import pyarrow as pa
 import pytest
 import texts
 from pyspark.sql import functions as F
 
-from bedside.llm import decontaminate, line_dedup, near_dedup, words
+from bedside.llm import decontaminate, lexical, line_dedup, near_dedup, words
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -137,3 +140,42 @@ def test_tasks_give_freed_memory_back():
 
     assert kept(words.lean(run)) < 60
     assert kept(run) > 100  # 180 MB stay otherwise
+
+
+def test_the_pipeline_writes_its_stages_in_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(corpus_pipeline, "load_table", lambda spark, sf_dir, name: spark.range(3))
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df: seen.append(spark.conf.get(key)) or df)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda spark, docs, sf_dir: docs) for name in "abc"])
+    before = spark.conf.get(key)
+    assert corpus_pipeline.run(spark, "").count() == 3
+    assert seen == ["4m", "4m"] and spark.conf.get(key) == before
+
+
+def test_a_worker_keeps_one_thing_of_all_operators():
+    class Large:
+        pass
+
+    first = words.kept("a job", Large)
+    assert words.kept("a job", Large) is first
+    gone = weakref.ref(first)
+    del first
+    assert gone() is not None
+    list(words.lean(lambda batches: batches, "a job")(iter([None])))
+    assert gone() is not None
+    lexical._trie("another", ["term"])
+    gc.collect()
+    assert gone() is None
+    gone = weakref.ref(words.kept("a job", Large))
+    list(words.lean(lambda batches: batches, "another")(iter([None])))
+    gc.collect()
+    assert gone() is None
+
+
+def test_marking_keeps_other_columns_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "a b c", None), (2, None, 2**60 + 1)], "doc_id long, text string, more long")
+    items = spark.createDataFrame([("x", "b")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.mark_contamination(docs, items).collect()}
+    assert (got[1].more, got[2].more) == (None, 2**60 + 1)
+    assert got[1].hit_words == [1] and got[1].hit_items == ["x"] and [tuple(h) for h in got[1].hit_spans] == [(2, 3)]
+    assert got[2].hit_words == [] and got[2].n_words == 0
