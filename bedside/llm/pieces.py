@@ -29,7 +29,7 @@ from . import words
 
 BLANK = "▁"
 #: Stretches that a worker keeps, and slots for pairs of pieces (a power of two).
-KEPT_STRETCHES, PAIR_SLOTS = 400_000, 1 << 22
+KEPT_STRETCHES, PAIR_SLOTS = 400_000, 1 << 20
 #: Bytes of text whose new stretches take their steps together; the pieces at all of their places are held meanwhile.
 PART = 1 << 18
 _WINDOWS = 4  # a path first looks for a meeting point after so many lengths of the longest piece
