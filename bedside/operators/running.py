@@ -14,7 +14,8 @@ contribute:
 
 Only one row per slice takes part in the second window, so its size depends on the covered time
 span and not on the number of rows. All results here are prefix results (last value, sum, max,
-min), so they can be combined that way without loss: both plans give the same rows.
+min), so they can be combined that way without loss: both plans give the same rows. Only entities above the limit
+are cut as long as they are few enough to be named (``NAMED_GROUPS``): the others keep the plain window's work.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ UNBOUNDED = float("inf")
 # Slice widths to choose from, coarsest first: a day, an hour, a minute, a second.
 SLICE_SECONDS = (86_400, 3_600, 60, 1)
 
+# So many groups above the limit are told apart from the others; with more of them, every timeline is cut.
+NAMED_GROUPS = 10_000
+
 _KEY = "__slice"
 _START = Window.unboundedPreceding
 
@@ -61,6 +65,14 @@ class State:
     alone: Callable[[Column], Column] = lambda own: own  # the local value when nothing was cut
 
 
+@dataclass(frozen=True)
+class Slices:
+    """``number`` of a row's slice, for the rows ``where`` the group is cut at all."""
+
+    number: Column
+    where: Column
+
+
 def _unbox(own: Column) -> Column:
     return own["v"]
 
@@ -185,29 +197,36 @@ def choose_slices(
     order: str,
     hot_rows: float | None = None,
     candidates: Iterable[Column] | None = None,
-) -> Column | None:
+) -> Slices | None:
     """How to number the slices of a timeline, or None if every group fits into one task.
 
     ``candidates`` are slice numbers from coarse to fine, each growing with ``order``; by default
     ``order`` is a timestamp. The coarsest one under which no (group, slice) has more than
-    ``hot_rows`` rows is taken. Only counts are computed, and only their maximum reaches the driver.
+    ``hot_rows`` rows is taken. Only counts are computed; their maximum reaches the driver, and hashes of up to
+    ``NAMED_GROUPS`` groups that do not fit. A group that shares such a hash is cut too, which changes no result.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     if limit == UNBOUNDED:
         return None
 
+    groups = F.xxhash64(F.lit(0), *by)
+    large = df.groupBy(*by).count().where(F.col("count") > limit).select(groups.alias("__group"))
+    named = [row[0] for row in large.limit(NAMED_GROUPS + 1).collect()]
+    if not named:
+        return None
+    where = groups.isin(sorted(set(named))) if len(named) <= NAMED_GROUPS else F.lit(True)
+    rows = df.where(where)
+
     def largest(*keys: Column | str) -> int:
-        return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
-    if largest(*by) <= limit:
-        return None
     if candidates is None:
         candidates = [time_slice(order, seconds) for seconds in SLICE_SECONDS]
     slices = None
     for slices in candidates:
         if largest(*by, slices.alias("__n")) <= limit:
             break
-    return slices
+    return None if slices is None else Slices(slices, where)
 
 
 def running(
@@ -216,13 +235,13 @@ def running(
     order: str,
     states: Mapping[str, State],
     *,
-    slices: Column | None,
+    slices: Slices | Column | None,
     ties: Sequence[str] = (),
     descending: bool = False,
 ) -> DataFrame:
     """Add one column per entry of ``states``, computed along ``order`` inside each ``by`` group.
 
-    ``slices`` comes from ``choose_slices``; None selects the plain window. ``ties`` makes row-based
+    ``slices`` comes from ``choose_slices``; a column cuts all groups, None selects the plain window. ``ties`` makes row-based
     results reproducible among equal ``order`` values. NULL group keys form one group, as in any
     window.
     """
@@ -244,12 +263,15 @@ def running(
         return df.withColumns({name: s.alone(s.local(w)) for name, s in states.items()})
 
     # Both branches read the input, so it is written once.
-    keyed = cut(df).withColumn(_KEY, F.struct(*by, slices.alias("n")))
+    if isinstance(slices, Column):
+        slices = Slices(slices, F.lit(True))
+    keyed = cut(df).withColumns({_KEY: F.struct(*by, F.when(slices.where, slices.number).alias("n")), "__cut": slices.where})
     w = windows([_KEY], order, *ties)
     local = keyed.withColumns({name: s.local(w) for name, s in states.items()})
 
     last_rows = (
-        keyed.withColumns(
+        keyed.where("__cut")
+        .withColumns(
             {f"__s_{name}": s.summary(w) for name, s in states.items()}
             | {"__end": F.lead(F.lit(1)).over(w.rows).isNull()}
         )
@@ -261,8 +283,10 @@ def running(
         F.col(_KEY).alias("__carry_key"),
         *[s.carry(F.col(f"__s_{name}"), across).alias(f"__c_{name}") for name, s in states.items()],
     )
-    joined = local.join(carried, F.col(_KEY) == F.col("__carry_key"))
-    return joined.select(
-        *df.columns,
-        *[s.combine(F.col(name), F.col(f"__c_{name}")).alias(name) for name, s in states.items()],
-    )
+    joined = local.join(carried, F.col(_KEY) == F.col("__carry_key"), "left")
+
+    def whole(name: str, s: State) -> Column:
+        own = F.col(name)
+        return F.when(F.col("__cut"), s.combine(own, F.col(f"__c_{name}"))).otherwise(s.alone(own)).alias(name)
+
+    return joined.select(*df.columns, *[whole(name, s) for name, s in states.items()])

@@ -49,8 +49,12 @@ class StayLayout:
         for name, (key, time) in PLACES.items():
             usual, apart = rows[name], None
             if hot is not None:
-                same = rows[name][key].eqNullSafe(hot[key]["__hot"])
-                usual, apart = rows[name].join(hot[key], same, "left_anti"), rows[name].join(hot[key], same, "left_semi")
+                # Not semi and anti joins: Spark pushes these into each branch of a table that is a union, where every branch is
+                # dealt by itself and all are then zipped into as few tasks as the smallest branch needs. Hot keys are distinct.
+                found = hot[key].withColumn("__found", F.lit(True))
+                same = rows[name][key].eqNullSafe(found["__hot"])
+                apart = rows[name].join(found, same).drop("__hot", "__found")
+                usual = rows[name].join(found, same, "left").where("__found IS NULL").drop("__hot", "__found")
             # The exchange deals rows as buckets do: one file a bucket.
             dealt = usual.repartition(self.buckets, key)
             dealt.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key, time).option("path", f"{self.root}/usual/{name}").saveAsTable(f"{self._name}_{name}")
@@ -64,9 +68,13 @@ class StayLayout:
     def _hot_keys(self, rows: Mapping[str, DataFrame]) -> dict[str, DataFrame] | None:
         """Hot stays and patients as tables of keys, or None; counts are combined before they are exchanged."""
 
+        # Charts are read once, for their counts and for which stays a patient has.
+        stays = cut(rows["chartevents"].groupBy("icustay_id", "subject_id").count())
+
         def large(name: str) -> DataFrame:
-            key = PLACES[name][0]
-            return rows[name].groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > self.hot_rows).select("__hot")
+            key = F.col(PLACES[name][0]).alias("__hot")
+            counts = stays.groupBy(key).agg(F.sum("count").alias("count")) if name == "chartevents" else rows[name].groupBy(key).count()
+            return counts.where(F.col("count") > self.hot_rows).select("__hot")
 
         def by(key: str) -> DataFrame:
             parts = [large(n) for n, (k, _) in PLACES.items() if k == key]
@@ -77,7 +85,7 @@ class StayLayout:
         if not any(sizes.values()):
             return None
         # All stays of a patient stay together. A second round finds nothing new unless a stay has several patients.
-        of = cut(rows["chartevents"].select("icustay_id", "subject_id").where("icustay_id IS NOT NULL AND subject_id IS NOT NULL").distinct())
+        of = stays.where("icustay_id IS NOT NULL AND subject_id IS NOT NULL").select("icustay_id", "subject_id")
         while True:
             for key, other in (("subject_id", "icustay_id"), ("icustay_id", "subject_id")):
                 more = of.join(hot[other], of[other] == F.col("__hot"), "left_semi").select(F.col(key).alias("__hot"))
