@@ -38,7 +38,7 @@ UNBOUNDED = float("inf")
 SLICE_SECONDS = (86_400, 3_600, 60, 1)
 
 # So many groups above the limit are told apart from the others; with more of them, every timeline is cut.
-NAMED_GROUPS = 10_000
+NAMED_GROUPS = 100
 
 _KEY = "__slice"
 _START = Window.unboundedPreceding
