@@ -431,3 +431,53 @@ def test_perceptrons_of_all_folds_equal_one_fit_a_fold(spark, frame, table, monk
     assert scored.score.to_numpy() == pytest.approx(again.score.to_numpy(), abs=1e-9)
     assert scored.score.to_numpy() == pytest.approx(1 / (1 + np.exp(-want[scored.index])), abs=1e-6)
     assert (scored.predicted == again.predicted).all()
+
+
+@pytest.mark.parametrize("kind, column", [("logistic", "two"), ("multi", "four"), ("svc", "two"), ("svr", "label")])
+def test_a_start_on_a_part_is_one_job(spark, frame, monkeypatch, kind, column):
+    monkeypatch.setattr(newton, "START_ROWS", 150)
+    rows = frame if column == "label" else relabelled(frame, column)
+    models, n = jobs(spark, lambda: fit_folds(rows, ["id"], "regression" if column == "label" else "classification", kind, FEATURES))
+    assert n <= models.rounds + 12  # scaling, landmarks, a start of each fit
+
+
+def test_a_pass_with_few_numbers_is_one_job(spark, frame):
+    rows = relabelled(frame, "two")
+    scale = batched.scaling(rows, FEATURES)
+    fit, n = jobs(spark, lambda: newton.newton_by_fold(rows, scale, newton.logistic, np.ones(4)))
+    assert n == fit.passes
+
+
+@pytest.mark.parametrize("apart, exact", [(0.0, 1e-12), (1e-4, 1e-11), (1e-2, 1e-11), (3.0, 1e-12)])
+def test_kernel_values_of_folds_that_differ_little(apart, exact):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(300, 3)), [[40.0, -3, 2]], np.zeros((1, 3))])
+    scale = batched.Scaling(tuple(FEATURES), tuple(range(4)), apart * rng.normal(size=(4, 3)), np.exp(apart * rng.normal(size=(4, 3))), np.ones(4), np.zeros(4), np.ones(4))
+    values = kernels.Values(kernels.Kernel.at(rng.normal(size=(20, 3)), 1 / 3), scale)
+    of = values.of(x)
+    for g in range(4):
+        assert of(g) == pytest.approx(values(g, x), rel=exact, abs=1e-300)
+
+
+def test_tanh_of_any_number():
+    z = np.concatenate([np.linspace(-30, 30, 100_001), [-1e300, -800, 0, 800, 1e300, np.inf, -np.inf]])
+    out = np.empty_like(z)
+    networks._tanh(z.copy(), out)
+    assert np.abs(out - np.tanh(z)).max() < 1e-15
+    nan = np.array([np.nan])
+    networks._tanh(nan, nan)
+    assert np.isnan(nan[0])
+
+
+def test_tasks_have_as_many_shards(frame, monkeypatch):
+    kept = []
+
+    def written(df):
+        kept.append(df.select("shard", F.spark_partition_id().alias("task")).distinct().groupBy("task").count().collect())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(networks, "written", written)
+    monkeypatch.setattr(networks, "remove", lambda df: None)
+    networks.train_by_fold(frame, batched.scaling(frame, FEATURES, "label"), (2,), ["id"], rounds=1, shard_rows=60)
+    (tasks,) = kept
+    assert sum(r["count"] for r in tasks) == 20 and len(tasks) == 8 and max(r["count"] for r in tasks) == 3
