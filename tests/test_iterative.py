@@ -481,3 +481,20 @@ def test_tasks_have_as_many_shards(frame, monkeypatch):
     networks.train_by_fold(frame, batched.scaling(frame, FEATURES, "label"), (2,), ["id"], rounds=1, shard_rows=60)
     (tasks,) = kept
     assert sum(r["count"] for r in tasks) == 20 and len(tasks) == 8 and max(r["count"] for r in tasks) == 3
+
+
+@pytest.mark.parametrize("kind, column", [("svr", "label"), ("multi", "four")])
+def test_parts_that_grow_keep_the_minimum(frame, monkeypatch, kind, column):
+    rows = frame if column == "label" else relabelled(frame, column)
+    task = "regression" if column == "label" else "classification"
+    whole = fit_folds(rows, ["id"], task, kind, FEATURES)
+    monkeypatch.setattr(newton, "START_ROWS", 50)
+    monkeypatch.setattr(newton, "MORE", 4)
+    grown = fit_folds(rows, ["id"], task, kind, FEATURES)
+    x = rows.toPandas()[FEATURES].to_numpy()
+    assert grown.rounds < whole.rounds and grown.settled.max() < 1e-4
+    if kind == "svr":
+        want = whole.outputs(1, x)
+        assert np.abs(grown.outputs(1, x) - want).max() < 1e-3 * want.std()
+    else:
+        assert (grown.values(1, x) == whole.values(1, x)).all()
